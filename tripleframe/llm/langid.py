@@ -1,7 +1,7 @@
 """Language ID: script ranges narrow the candidates of a word, then Viterbi over
 per-word scores with a switching penalty labels spans of mixed-language text.
 
-Training counts hashed character 1- to 4-grams of the words of labelled documents
+Training counts hashed character 1- to 3-grams of the words of labelled documents
 per language, on a sample bounded by ``train_docs`` documents a language (chosen
 by a hash of doc_id, the same at every size of cluster). Prediction reads whole
 texts and uses the text alone. A word's score is the sum of the log-probabilities
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 UND = "und"
 BUCKETS = 1 << 15
 #: At most about so many documents a language are learnt from.
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 1000
 #: What a change of language between two words costs, in nats.
 SWITCH = 10.0
 #: First and last code point of the scripts told apart.
@@ -40,15 +40,26 @@ WORD = re.compile(r"[^\W\d_]+")
 
 def script_of(word: str) -> str:
     code = ord(word[0])
+    if 0x41 <= code <= 0x24F:
+        return "latin"
     return next((name for name, lo, hi in SCRIPTS if lo <= code <= hi), "other")
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of the character 1- to 4-grams of a word between boundary marks."""
-    from zlib import crc32
+class Grams(dict):
+    """character gram -> bucket, kept for reuse."""
 
-    marked = f"^{word}$"
-    return [crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
+    def __missing__(self, gram):
+        from zlib import crc32
+
+        if len(self) > 300_000:
+            self.clear()
+        self[gram] = value = crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+        return value
+
+    def of(self, word: str) -> list[int]:
+        """Buckets of the 1- to 3-grams of a word between boundary marks."""
+        m = f"^{word}$"
+        return [self[m[i : i + n]] for n in (1, 2, 3) for i in range(len(m) - n + 1)]
 
 
 @dataclass
@@ -74,17 +85,20 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     sample = usable.where(place < share[F.col("lang")]).select("text", "lang")
 
     def count(parts):
-        table, seen = {}, {}
+        words: dict[str, dict[str, int]] = {}
         for batch in parts:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                words: dict[str, int] = {}
+                own = words.setdefault(lang, {})
                 for w in WORD.findall(text.lower()):
-                    words[w] = words.get(w, 0) + 1
-                row = table.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for w, n in words.items():
-                    np.add.at(row, grams(w), n)
-                    key = (lang, script_of(w))
-                    seen[key] = seen.get(key, 0) + n * len(w)
+                    own[w] = own.get(w, 0) + 1
+        table, seen, grams = {}, {}, Grams()
+        for lang, own in words.items():
+            row = table[lang] = np.zeros(BUCKETS, np.int64)
+            for w, n in own.items():
+                for g in grams.of(w):
+                    row[g] += n
+                key = (lang, script_of(w))
+                seen[key] = seen.get(key, 0) + n * len(w)
         rows = [(lang, "", int(b), int(row[b])) for lang, row in table.items() for b in np.flatnonzero(row)] + [(lang, s, -1, n) for (lang, s), n in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "script", "bucket", "n"])
 
@@ -108,30 +122,38 @@ class WordScores(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.rows, self.n = model, np.zeros((1024, len(model.langs)), np.float32), 0
+        self.model, self.grams, self.rows, self.new = model, Grams(), np.zeros((0, len(model.langs)), np.float32), []
 
     def __missing__(self, word):
-        if self.n == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        low = word.lower()
-        score = self.model.logp[grams(low)].sum(axis=0)
-        users = self.model.scripts.get(script_of(low))
-        if users is not None and any(users):
-            score = np.where(users, score, score.min() - 50.0)
-        else:
-            score = score * 0
-        self.rows[self.n] = score - score.max()
-        self[word] = self.n
-        self.n += 1
-        return self.n - 1
+        self[word] = number = len(self.rows) + len(self.new)
+        self.new.append(word)
+        return number
 
     def table(self) -> np.ndarray:
-        return self.rows[: self.n]
+        """The scores of all words met so far: sums over grams, within the languages of the word's script."""
+        if self.new:
+            low = [w.lower() for w in self.new]
+            flat = list(map(self.grams.of, low))
+            ends = np.cumsum([len(x) for x in flat])
+            index = np.fromiter((g for x in flat for g in x), np.int64, int(ends[-1]))
+            score = np.add.reduceat(self.model.logp[index], np.concatenate([[0], ends[:-1]]), axis=0)
+            numbers: dict[str, list[int]] = {}
+            for k, w in enumerate(low):
+                numbers.setdefault(script_of(w), []).append(k)
+            for script, own in numbers.items():
+                users = np.array(self.model.scripts.get(script, [False] * len(self.model.langs)))
+                if users.any():
+                    score[np.ix_(own, ~users)] = score[own].min() - 50.0
+                else:
+                    score[own] = 0
+            self.rows = np.concatenate([self.rows, (score - score.max(axis=1, keepdims=True)).astype(np.float32)])
+            self.new = []
+        return self.rows
 
     def trim(self) -> None:
-        if self.n > self.LIMIT:
+        if len(self.rows) > self.LIMIT:
             self.clear()
-            self.n = 0
+            self.rows = self.rows[:0]
 
 
 def viterbi(paths: list[np.ndarray], table: np.ndarray, penalty: float) -> list[np.ndarray]:
