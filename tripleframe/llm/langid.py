@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix64
+
 UND = "und"
 BUCKETS = 1 << 15
 #: At most about so many documents a language are learnt from.
@@ -45,21 +47,18 @@ def script_of(word: str) -> str:
     return next((name for name, lo, hi in SCRIPTS if lo <= code <= hi), "other")
 
 
-class Grams(dict):
-    """character gram -> bucket, kept for reuse."""
-
-    def __missing__(self, gram):
-        from zlib import crc32
-
-        if len(self) > 300_000:
-            self.clear()
-        self[gram] = value = crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
-        return value
-
-    def of(self, word: str) -> list[int]:
-        """Buckets of the 1- to 3-grams of a word between boundary marks."""
-        m = f"^{word}$"
-        return [self[m[i : i + n]] for n in (1, 2, 3) for i in range(len(m) - n + 1)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the 1- to 3-grams of words between boundary marks, all words at once:
+    (characters x 3 buckets, which of them lie within their word, first character of each word)."""
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(sizes) - sizes
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))
+    buckets, state = np.empty((len(codes), 3), np.int64), np.zeros(len(codes), np.uint64)
+    for n in range(3):
+        state = mix64(state * np.uint64(31) + np.concatenate([codes[n:], np.zeros(n, np.uint64)]) + np.uint64(n))
+        buckets[:, n] = state % np.uint64(BUCKETS)
+    return buckets, left[:, None] > np.arange(3), starts
 
 
 @dataclass
@@ -91,12 +90,16 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
                 own = words.setdefault(lang, {})
                 for w in WORD.findall(text.lower()):
                     own[w] = own.get(w, 0) + 1
-        table, seen, grams = {}, {}, Grams()
+        table, seen = {}, {}
         for lang, own in words.items():
-            row = table[lang] = np.zeros(BUCKETS, np.int64)
+            row, names = np.zeros(BUCKETS), list(own)
+            for at in range(0, len(names), 20_000):
+                part = names[at : at + 20_000]
+                buckets, inside, starts = grams(part)
+                weight = np.repeat([own[w] for w in part], np.diff([*starts, len(buckets)]))
+                row += np.bincount(buckets[inside], weights=np.broadcast_to(weight[:, None], inside.shape)[inside], minlength=BUCKETS)
+            table[lang] = row
             for w, n in own.items():
-                for g in grams.of(w):
-                    row[g] += n
                 key = (lang, script_of(w))
                 seen[key] = seen.get(key, 0) + n * len(w)
         rows = [(lang, "", int(b), int(row[b])) for lang, row in table.items() for b in np.flatnonzero(row)] + [(lang, s, -1, n) for (lang, s), n in seen.items()]
@@ -122,7 +125,7 @@ class WordScores(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.grams, self.rows, self.new = model, Grams(), np.zeros((0, len(model.langs)), np.float32), []
+        self.model, self.rows, self.new = model, np.zeros((0, len(model.langs)), np.float32), []
 
     def __missing__(self, word):
         self[word] = number = len(self.rows) + len(self.new)
@@ -132,11 +135,14 @@ class WordScores(dict):
     def table(self) -> np.ndarray:
         """The scores of all words met so far: sums over grams, within the languages of the word's script."""
         if self.new:
-            low = [w.lower() for w in self.new]
-            flat = list(map(self.grams.of, low))
-            ends = np.cumsum([len(x) for x in flat])
-            index = np.fromiter((g for x in flat for g in x), np.int64, int(ends[-1]))
-            score = np.add.reduceat(self.model.logp[index], np.concatenate([[0], ends[:-1]]), axis=0)
+            low, many = [w.lower() for w in self.new], max(100, 100_000 // len(self.model.langs))
+            score = np.empty((len(low), len(self.model.langs)))
+            for at in range(0, len(low), many):
+                buckets, inside, starts = grams(low[at : at + many])
+                each = self.model.logp[buckets[:, 0]]
+                for n in (1, 2):
+                    each = each + np.where(inside[:, n : n + 1], self.model.logp[buckets[:, n]], 0.0)
+                score[at : at + many] = np.add.reduceat(each, starts, axis=0)
             numbers: dict[str, list[int]] = {}
             for k, w in enumerate(low):
                 numbers.setdefault(script_of(w), []).append(k)
@@ -198,7 +204,8 @@ def viterbi(paths: list[np.ndarray], table: np.ndarray, penalty: float) -> list[
 
 def label_words(texts: list, scores: WordScores, penalty: float) -> tuple[list[list[str]], list[np.ndarray]]:
     """Words with a letter of each text and the language number of each word."""
-    words = [[w for w in WORD.findall(t)] if t else [] for t in texts]
+    low = [t.lower() if t else "" for t in texts]
+    words = [WORD.findall(t if len(t) == len(text or "") else text) for t, text in zip(low, texts, strict=True)]
     words = [ws if all(map(str.isalpha, ws)) else [w for w in ws if any(map(str.isalpha, w))] for ws in words]
     paths = [np.fromiter(map(scores.__getitem__, ws), np.int32, len(ws)) for ws in words]
     return words, viterbi(paths, scores.table(), penalty)
