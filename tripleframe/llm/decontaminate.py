@@ -101,6 +101,24 @@ class Index:
         return found
 
 
+def leaks_in(text: str | None, index: Index, sizes: list[int], cache: WordHashes, percent: int) -> list[tuple[int, int]]:
+    """(item number, shared shingles) of the items that leak into one text."""
+    out, words = [], normal_words(text)
+    for size in sizes:
+        if len(words) < size:
+            continue
+        stream = shingle_stream(words, size, cache)
+        near = index.candidates(stream, size)
+        whole = np.unique(stream) if near else None
+        for item in sorted(near):
+            own = index.sets[item]
+            at = np.minimum(np.searchsorted(whole, own), len(whole) - 1)
+            shared = int((whole[at] == own).sum())
+            if 100 * shared >= percent * len(own):
+                out.append((item, shared))
+    return out
+
+
 def _pass(docs: DataFrame, index: Index, percent: int) -> DataFrame:
     sizes = sorted({size for size, _ in index.tables})
 
@@ -108,41 +126,51 @@ def _pass(docs: DataFrame, index: Index, percent: int) -> DataFrame:
         cache = WordHashes()
         for batch in parts:
             for ids, texts in batches(batch, ["doc_id", "text"]):
-                rows = []
-                for doc, text in zip(ids, texts, strict=True):
-                    words = normal_words(text)
-                    for size in sizes:
-                        if len(words) < size:
-                            continue
-                        stream = shingle_stream(words, size, cache)
-                        near = index.candidates(stream, size)
-                        whole = np.unique(stream) if near else None
-                        for item in sorted(near):
-                            own = index.sets[item]
-                            at = np.minimum(np.searchsorted(whole, own), len(whole) - 1)
-                            shared = int((whole[at] == own).sum())
-                            if 100 * shared >= percent * len(own):
-                                rows.append((doc, index.ids[item], len(own), shared, shared / len(own)))
+                rows = [(doc, index.ids[item], len(index.sets[item]), shared, shared / len(index.sets[item])) for doc, text in zip(ids, texts, strict=True) for item, shared in leaks_in(text, index, sizes, cache, percent)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "item_shingles", "shared", "containment"])
 
     return docs.mapInArrow(run, PAIRS)
 
 
+def _clean_pass(rows: DataFrame, index: Index, percent: int) -> DataFrame:
+    sizes = sorted({size for size, _ in index.tables})
+
+    def run(parts):
+        cache = WordHashes()
+        for batch in parts:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield part.filter(pa.array([not leaks_in(text, index, sizes, cache, percent) for text in part.column("text").to_pylist()], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def item_blocks(benchmark: DataFrame, size: int):
+    """The items in lists of at most ``size``; an empty benchmark gives one empty list."""
+    block, any_ = [], False
+    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
+        block.append(tuple(row))
+        if len(block) == size:
+            yield block
+            block, any_ = [], True
+    if block or not any_:
+        yield block
+
+
+def clean_rows(rows: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, hashes: int = HASHES, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """The whole rows (which have a column text) that hold no item."""
+    for k, block in enumerate(item_blocks(benchmark, item_block)):
+        rows = _clean_pass(written(rows, "clean") if k else rows, Index(block, shingle, hashes), percent)
+    return rows
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, hashes: int = HASHES, item_block: int = ITEM_BLOCK) -> DataFrame:
     """Per document and leaked item: doc_id, item_id, item_shingles, shared, containment."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    found, block = None, []
-
-    def search(last: bool):
+    found = None
+    for block in item_blocks(benchmark, item_block):
         part = _pass(texts, Index(block, shingle, hashes), percent)
-        return part if last and found is None else written(part, "leaks")
-
-    for row in items.toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == item_block:
-            found, block = (search(False) if found is None else found.unionAll(search(False))), []
-    if block or found is None:
-        rest = search(True)
-        found = rest if found is None else found.unionAll(rest)
+        if found is not None or len(block) == item_block:  # more passes: one index at a time
+            part = written(part, "leaks")
+        found = part if found is None else found.unionAll(part)
     return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, near_dups, packing, token_shards, url_filter, warc
+from . import bm25, decontaminate, html_text, langid, masked_lm, near_dups, packing, token_shards, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,17 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihood of every text of ``documents``."""
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+def op4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best ``documents`` for every document whose id is divisible by 20."""
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), k=10)
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` in training order in binary shards, as read back from the files."""
     manifest = token_shards.materialise(table(spark, sf_dir, "documents"))
@@ -82,5 +93,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_minhash, op5_token_shards, op6_warc, op7_url_filter, op8_packing, op9_decontaminate, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_minhash, op3_masked_lm, op4_bm25, op5_token_shards, op6_warc, op7_url_filter, op8_packing, op9_decontaminate, op10_language_id)}
 ORACLE: dict[str, str] = {"op6_warc": OP6_SQL, "op9_decontaminate": OP9_SQL}
