@@ -9,12 +9,14 @@ linked if ``100 * |A & B| >= percent * |A | B|``; a group is a connected compone
 * ``BANDS * ROWS`` minima of functions a*x+b mod 2**64; equal bands put
   representatives in one bucket. At Jaccard 0.8 a pair misses all 40 bands of 6
   with probability 5e-6.
-* Round 1 links each representative to the bucket head (smallest id) its signature
-  resembles most, so a large group of near copies costs one pair a member.
+* Round 1 pairs each representative with the bucket heads (two a bucket) that its
+  signature resembles most, at most ``TRIES``, so a large group of near copies
+  costs a few pairs a member; each pair is confirmed on the full sets of 64-bit
+  shingle hashes.
 * Round 2 takes the buckets that still hold several components and compares all
-  members of different components, in blocks of at most ``BLOCK`` rows; a pair
-  leaves a task only if the signatures agree in about the needed share.
-* Each remaining pair is confirmed on the full sets of 64-bit shingle hashes.
+  members of different components, in blocks of at most ``BLOCK`` rows: signatures
+  first, then the full sets, each pair in the first band it shares. A task returns
+  a spanning forest of the links it confirms, so no more rows than members.
 
 Nulls and odd cases: a null, empty or blank text has no shingles and links with
 nothing; a text shorter than a shingle counts as one shingle; rows with a null
@@ -28,14 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WordHashes, ascii_words, batches, mix64, shingle_hashes, written
 
 BANDS, ROWS = 40, 6
 BLOCK = 512
+TRIES = 3
 #: Signatures must agree in this much less than the wanted share: four standard deviations.
 SLACK = 0.11
-FEATURES = "doc_id long, n_shingles long, fp binary, bands array<long>, sig binary"
+FEATURES = "doc_id long, n_shingles long, fp binary, bands array<long>, sig binary, keys binary"
 
 
 def hash_family(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +60,7 @@ def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: size of its set, fingerprint of the set, band keys and 16-bit signature."""
+    """Per document: size of its set, fingerprint of the set, band keys, 16-bit signature and 32-bit band keys."""
 
     def run(parts):
         import xxhash
@@ -64,7 +68,7 @@ def features(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -
         cache, (a, b) = WordHashes(), hash_family(bands * rows)
         for batch in parts:
             for ids, texts in batches(batch, ["doc_id", "text"]):
-                out = ([], [], [], [], [])
+                out = ([], [], [], [], [], [])
                 for doc, text in zip(ids, texts, strict=True):
                     hashes = shingle_hashes(ascii_words(text), size, cache)
                     out[0].append(doc)
@@ -77,11 +81,12 @@ def features(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -
                         keys = mix64(keys + np.arange(bands, dtype=np.uint64))
                         out[2].append(xxhash.xxh3_128_digest(hashes.tobytes()))
                         out[3].append(keys.view(np.int64))
-                        out[4].append((low >> np.uint64(48)).astype("<u2").tobytes())
+                        out[4].append((mix64(low) >> np.uint64(48)).astype("<u2").tobytes())
+                        out[5].append(keys.astype("<u4").tobytes())
                     else:
                         for c in out[2:]:
                             c.append(None)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["doc_id", "n_shingles", "fp", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "n_shingles", "fp", "bands", "sig", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FEATURES)
 
@@ -110,18 +115,22 @@ def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, alike double")
 
 
+def enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are alike enough."""
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(short) < percent * len(long):
+        return False
+    at = np.searchsorted(long, short)
+    common = int(np.sum(long[np.minimum(at, len(long) - 1)] == short))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
 
     def run(parts):
         for batch in parts:
-            keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                short, long = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(long, short)
-                common = int(np.sum(long[np.minimum(at, len(long) - 1)] == short))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = [enough(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
@@ -151,39 +160,62 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
 
 
-def block_pairs(members: DataFrame, floor: float) -> DataFrame:
-    """Pairs of members of one bucket in different components whose signatures agree enough.
+def block_links(members: DataFrame, floor: float, percent: int) -> DataFrame:
+    """Links between members of one bucket in different components.
 
-    members: bucket, doc_id, component, sig. A component with more than BLOCK
-    members has blocks of its own, smaller ones share blocks; a task gets two
-    blocks, and pairs of blocks of one large component are left out.
+    members: bucket, band, doc_id, component, sig, keys, hashes. A component with more
+    than BLOCK members has blocks of its own, smaller ones share blocks; a task gets
+    two blocks, and pairs of blocks of one large component are left out.
     """
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    split = F.when(F.col("n") > BLOCK, F.concat_ws(":", F.col("component"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)))).otherwise(F.lit(None))
+    slim = members.select("bucket", "band", "doc_id", "component")
+    sizes = slim.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    split = F.when(F.col("n") > BLOCK, F.concat_ws(":", F.col("component"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK))))
     total = sizes.where(F.col("n") <= BLOCK).groupBy("bucket").agg(F.sum("n").alias("small"))
-    keyed = members.join(sizes, ["bucket", "component"]).join(total, "bucket", "left")
+    keyed = slim.join(sizes, ["bucket", "component"]).join(total, "bucket", "left")
     keyed = keyed.withColumn("block", F.coalesce(split, F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64("component"), F.ceil(F.col("small") / BLOCK)))))
-    keyed = keyed.withColumn("own", F.when(F.col("n") > BLOCK, F.col("component"))).select("bucket", "doc_id", "component", "sig", "block", "own")
+    keyed = keyed.withColumn("own", F.when(F.col("n") > BLOCK, F.col("component"))).select("bucket", "band", "doc_id", "component", "block", "own")
     blocks = keyed.select("bucket", "block", "own").distinct()
     other = blocks.select("bucket", F.col("block").alias("block2"), F.col("own").alias("own2"))
     tasks = blocks.join(other, "bucket").where("block <= block2").where("own is null or own2 is null or own <> own2").select("bucket", "block", "block2")
     sides = tasks.select("bucket", F.col("block").alias("take"), "block", "block2", F.lit(0).alias("side")).union(tasks.where("block <> block2").select("bucket", F.col("block2"), "block", "block2", F.lit(1)))
-    dealt = keyed.withColumnRenamed("block", "take").join(sides, ["bucket", "take"]).select("bucket", "block", "block2", "side", "doc_id", "component", "sig")
+    dealt = keyed.withColumnRenamed("block", "take").join(sides, ["bucket", "take"]).select("bucket", "band", "block", "block2", "side", "doc_id", "component")
+    dealt = dealt.join(members.select("doc_id", "sig", "keys", "hashes").dropDuplicates(["doc_id", "sig"]), "doc_id")
 
     def compare(table):
-        ids, comp, side = (table.column(c).to_numpy() for c in ("doc_id", "component", "side"))
+        ids, comp, side, band = (table.column(c).to_numpy() for c in ("doc_id", "component", "side", "band"))
         sigs = np.stack([np.frombuffer(x, "<u2") for x in table.column("sig").to_pylist()])
-        right = np.flatnonzero(side == 1) if side.any() else np.arange(len(ids))
+        keys = np.stack([np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()])
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        group = {int(c): int(c) for c in comp}
+
+        def root(c):
+            while group[c] != c:
+                group[c] = group[group[c]]
+                c = group[c]
+            return c
+
+        two = side.any()
+        right = np.flatnonzero(side == 1) if two else np.arange(len(ids))
         a, b = [], []
-        for i in np.flatnonzero(side == 0) if side.any() else range(len(ids)):
-            other = right if side.any() else right[i + 1 :]
-            other = other[comp[other] != comp[i]]
-            near = other[(sigs[other] == sigs[i]).mean(axis=1) >= floor]
-            a += [int(ids[i])] * len(near)
-            b += ids[near].tolist()
+        for i in np.flatnonzero(side == 0) if two else range(len(ids)):
+            other = right if two else right[i + 1 :]
+            other = other[(comp[other] != comp[i]) & (100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i]))]
+            if not len(other):
+                continue
+            alike = (sigs[other] == sigs[i]).mean(axis=1)
+            first = (keys[other] == keys[i]).argmax(axis=1)
+            for k in np.argsort(-alike, kind="stable"):
+                if alike[k] < floor:
+                    break
+                j = other[k]
+                if first[k] == band[i] and root(int(comp[i])) != root(int(comp[j])) and enough(sets[i], sets[j], percent):
+                    group[root(int(comp[i]))] = root(int(comp[j]))
+                    a.append(min(int(ids[i]), int(ids[j])))
+                    b.append(max(int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("bucket", "block", "block2").applyInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.groupBy("bucket", "block", "block2").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -196,14 +228,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     twice = member.join(sides.where("a < b"), "doc_id").select("a", F.col("rep").alias("b")).where("a < b")
     reps = found.join(classes.select("fp", "rep"), "fp").where("doc_id = rep").dropDuplicates(["doc_id", "fp"])
 
-    rows_of = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    crowded = rows_of.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail")).where("head < tail").select("bucket", "head")
+    rows_of = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
+    some_of = F.min(F.struct(F.xxhash64("doc_id", "bucket"), F.col("doc_id").alias("id")))["id"]
+    crowded = rows_of.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail"), some_of.alias("other")).where("head < tail").select("bucket", "head", "other")
     buckets = written(rows_of.join(crowded, "bucket"), "buckets")
     some = written(buckets.select("doc_id").distinct(), "members")
-    sigs = written(reps.join(some, "doc_id", "left_semi").select("doc_id", "sig"), "signatures")
+    sigs = written(reps.join(some, "doc_id", "left_semi").select("doc_id", "sig", "keys"), "signatures")
 
-    first = agreement(buckets.where("doc_id <> head").select(F.col("doc_id").alias("b"), F.col("head").alias("a")).distinct(), sigs).where(F.col("alike") >= floor)
-    best = written(first.groupBy("b").agg(F.max(F.struct("alike", (-F.col("a")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), "b"), "pairs")
+    heads = buckets.select(F.col("doc_id").alias("b"), F.explode(F.array("head", "other")).alias("a")).where("a <> b").distinct()
+    first = agreement(heads, sigs).where(F.col("alike") >= floor)
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("alike"), "a"))
+    best = written(first.withColumn("rank", rank).where(F.col("rank") <= TRIES).select("a", "b"), "pairs")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def sets_of(ids):
@@ -215,14 +250,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     links = written(confirmed(best, sets, percent).union(twice), "links")
     groups = written(components(links), "groups")
 
-    placed = buckets.join(groups, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = buckets.join(groups, F.col("doc_id") == F.col("node"), "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    rest = block_pairs(placed.join(mixed, "bucket").join(sigs, "doc_id"), floor)
-    rest = written(rest, "pairs")
-    more = written(rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct().join(alike, "doc_id", "left_anti"), "alike")
-    if not more.isEmpty():
-        sets = sets.union(written(sets_of(more), "sets"))
-    extra = written(confirmed(rest, sets, percent), "links")
+    placed = written(placed.join(mixed, "bucket"), "mixed")
+    more = placed.select("doc_id").distinct().join(alike, "doc_id", "left_anti")
+    sets = sets.union(written(sets_of(more), "sets"))
+    extra = written(block_links(placed.join(sigs, "doc_id").join(sets, "doc_id"), floor, percent), "links")
     if not extra.isEmpty():
         groups = written(components(links.union(extra)), "groups")
 
