@@ -76,24 +76,24 @@ class Index:
         classes = sorted(u for s, u in self.tables if s == size)
         found: set[int] = set()
         salt = np.arange(len(self.a), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        step, blocks = SMALLEST, None
+        step = classes[0]
+        padded = np.concatenate([stream, np.repeat(stream[-1:], -len(stream) % step)])
+        columns = np.ascontiguousarray(padded.reshape(-1, step).T)  # minima run along the first axis, many blocks at once
+        blocks = np.empty((len(self.a), columns.shape[1]), np.uint64)
+        wide = max(1, 2048 // step)
+        for lo in range(0, columns.shape[1], wide):
+            part = columns[None, :, lo : lo + wide]
+            for i in range(0, len(self.a), 16):
+                blocks[i : i + 16, lo : lo + wide] = (part * self.a[i : i + 16, None, None] + self.b[i : i + 16, None, None]).min(axis=1)
         for u in classes:
-            if blocks is None:
-                pad = -len(stream) % SMALLEST
-                padded = np.concatenate([stream, np.repeat(stream[-1:], pad)])
-                blocks = np.empty((len(padded) // SMALLEST, len(self.a)), np.uint64)
-                for lo in range(0, len(blocks), 512):
-                    part = padded[lo * SMALLEST : (lo + 512) * SMALLEST]
-                    for i in range(len(self.a)):
-                        blocks[lo : lo + 512, i] = (part * self.a[i] + self.b[i]).reshape(-1, SMALLEST).min(axis=1)
             while step < u:
-                if len(blocks) % 2:
-                    blocks = np.concatenate([blocks, blocks[-1:]])
-                blocks = np.minimum(blocks[::2], blocks[1::2])
+                if blocks.shape[1] % 2:
+                    blocks = np.concatenate([blocks, blocks[:, -1:]], axis=1)
+                blocks = np.minimum(blocks[:, ::2], blocks[:, 1::2])
                 step *= 2
-            windows = (np.minimum(blocks[:-1], blocks[1:]) if len(blocks) > 1 else blocks) ^ salt
+            windows = (np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks) ^ salt[:, None]
             seen, values, owner = self.tables[size, u]
-            hits = windows[seen[(windows & np.uint64(BITMAP - 1)).astype(np.int64)]]
+            hits = windows[seen[(windows & np.uint64(BITMAP - 1)).view(np.int64)]]
             if len(hits):
                 lo, hi = np.searchsorted(values, hits), np.searchsorted(values, hits, side="right")
                 for x, y in set(zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True)):
