@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import batches, fresh_path, mix64, written
 from .tokens import make_encoder, tokenizer_files
 
-STRIDE = 1024
+STRIDE = 2048
 SHARD_SLOTS = 4096
 PAD = 0xFFFF
 END = 50256
@@ -53,32 +53,45 @@ def feistel(index: np.ndarray, size: int, key: int, rounds: int = 4) -> np.ndarr
     return out.astype(np.int64)
 
 
-def packing_dictionary(docs: DataFrame, stride: int, files: tuple) -> bytes:
-    """A zstd dictionary from a few texts; it changes how ids travel, never what is written."""
+def travel_form(docs: DataFrame, stride: int, files: tuple) -> tuple[bytes, np.ndarray]:
+    """A zstd dictionary and ids by frequency, from a few texts. They change how ids
+    travel between stages (common ids as small numbers, compressed), never what is written."""
     import zstandard
 
     encode = make_encoder(*files)
-    some = [encode(r[0]) for r in docs.where("text is not null").select(F.substring("text", 1, 20_000)).limit(300).collect()]
+    some = [encode(r[0]) for r in docs.where("text is not null").select(F.substring("text", 1, 20_000)).limit(400).collect()]
     flow = np.array([i for ids in some for i in ids], "<u2")
-    samples = [flow[k : k + stride].tobytes() for k in range(0, len(flow) - stride, stride)]
-    return zstandard.train_dictionary(112_640, samples).as_bytes() if len(samples) >= 50 else b""
+    order = np.argsort(-np.bincount(flow, minlength=1 << 16), kind="stable").astype("<u2")
+    ranked = _inverse(order)[flow]
+    samples = [ranked[k : k + stride].tobytes() for k in range(0, len(flow) - stride, stride)]
+    return zstandard.train_dictionary(112_640, samples).as_bytes() if len(samples) >= 50 else b"", order
 
 
-def _zstd(dictionary: bytes):
+def _inverse(order: np.ndarray) -> np.ndarray:
+    out = np.empty(1 << 16, "<u2")
+    out[order] = np.arange(1 << 16, dtype="<u2")
+    return out
+
+
+def travel_codec(form: tuple[bytes, np.ndarray]):
+    """(pack, unpack) for the bytes of uint16 ids."""
     import zstandard
 
+    dictionary, order = form
+    rank = _inverse(order)
     known = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-    return zstandard.ZstdCompressor(level=6, **known).compress, zstandard.ZstdDecompressor(**known).decompress
+    press, release = zstandard.ZstdCompressor(level=9, **known), zstandard.ZstdDecompressor(**known)
+    return lambda data: press.compress(rank[np.frombuffer(data, "<u2")].tobytes()), lambda data: order[np.frombuffer(release.decompress(data), "<u2")].tobytes()
 
 
-def token_sequences(docs: DataFrame, stride: int, files: tuple, end: int, dictionary: bytes = b"") -> DataFrame:
+def token_sequences(docs: DataFrame, stride: int, files: tuple, end: int, form: tuple) -> DataFrame:
     """Per sequence: input partition, place in it, compressed ids (little-endian uint16), documents."""
 
     def run(parts):
         from pyspark import TaskContext
 
         encode, part = make_encoder(*files), TaskContext.get().partitionId()
-        pack, _ = _zstd(dictionary)
+        pack, _ = travel_codec(form)
         held, held_docs, place = np.empty(0, "<u2"), [], 0
 
         def frame(rows):
@@ -114,8 +127,8 @@ def materialise(docs: DataFrame, key: int = 20_240_601, stride: int = STRIDE, sh
     spark = docs.sparkSession
     target = target or fresh_path(spark, "shards")
     files = tokenizer_files(tokenizer, ranks)
-    dictionary = packing_dictionary(docs, stride, files)
-    flow = written(token_sequences(docs, stride, files, end, dictionary), "sequences")
+    form = travel_form(docs, stride, files)
+    flow = written(token_sequences(docs, stride, files, end, form), "sequences")
     counts = dict(flow.groupBy("part").count().collect())  # one number an input partition
     parts = sorted(counts)
     first = np.zeros((max(parts) if parts else 0) + 1, np.int64)
@@ -133,7 +146,7 @@ def materialise(docs: DataFrame, key: int = 20_240_601, stride: int = STRIDE, sh
 
         store, root = fs.FileSystem.from_uri(target)
         store.create_dir(root, recursive=True)
-        _, unpack = _zstd(dictionary)
+        _, unpack = travel_codec(form)
         now, out, temporary = None, None, None
 
         def finish():
