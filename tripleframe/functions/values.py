@@ -25,7 +25,16 @@ FLOATS = [XSD + x for x in ("decimal", "double", "float")]
 TIMES = [XSD + x for x in ("dateTime", "date")]
 LANG_STRING = RDF + "langString"
 MOMENT = r"^-?\d{4,}-\d\d-\d\d(T\d\d:\d\d:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)?$"
-NULL = F.lit(None)
+
+
+class _Null:
+    """F.lit(None), made when used: a column needs a session."""
+
+    def cast(self, kind: str) -> Column:
+        return F.lit(None).cast(kind)
+
+
+NULL = _Null()
 
 
 @dataclass
@@ -250,7 +259,7 @@ def datatype_of(v: Val) -> Column:
     if v.shape != "nt":
         return NULL.cast("string")
     dt = _datatype(v.col)
-    return F.when(~_literal(v.col), NULL).when(int_of(v).isNotNull(), INTEGER).when(num_of(v).isNotNull(), DOUBLE).when(_lang(v.col) != "", LANG_STRING).when(dt == "", STRING).otherwise(dt)
+    return F.when(~_literal(v.col), F.lit(None)).when(int_of(v).isNotNull(), INTEGER).when(num_of(v).isNotNull(), DOUBLE).when(_lang(v.col) != "", LANG_STRING).when(dt == "", STRING).otherwise(dt)
 
 
 # --- kinds
@@ -263,7 +272,7 @@ def kind(v: Val) -> int | Column:
     if v.shape != "nt":
         return STATIC[v.shape]
     c = v.col
-    return F.when(c.isNull(), NULL).when(c.startswith("<"), IRI).when(c.startswith("_:"), BLANK).when(text_of(v).isNotNull(), TEXT).when(num_of(v).isNotNull(), NUMBER).when(bool_of(v).isNotNull(), BOOL).when(instant(v).isNotNull(), TIME).otherwise(TYPED)
+    return F.when(c.isNull(), F.lit(None)).when(c.startswith("<"), IRI).when(c.startswith("_:"), BLANK).when(text_of(v).isNotNull(), TEXT).when(num_of(v).isNotNull(), NUMBER).when(bool_of(v).isNotNull(), BOOL).when(instant(v).isNotNull(), TIME).otherwise(TYPED)
 
 
 def same_term(a: Val, b: Val) -> Column:
