@@ -4,7 +4,10 @@
 ones together, up to ``split_bytes``), takes record-type and header predicates
 from Catalyst, parses the headers of a record first and seeks past payloads that
 no row needs: those of records that fail a predicate, and all of them with
-``option("payload", "false")``. ``df.write.format("warc").save(dir)`` writes one
+``option("payload", "false")``. Archives are gzip members, one a record, whose
+extra field gives the member's length, so that the rest of a member is neither
+read nor inflated; plain ``.warc`` files and members without that field are read too.
+``df.write.format("warc").save(dir)`` writes one
 or more archives a task; only files that committed tasks report are listed in
 the manifest, so a lost or repeated task leaves no record twice.
 
@@ -17,9 +20,12 @@ archive folder without records.
 
 from __future__ import annotations
 
+import io
 import json
 import re
+import struct
 import uuid
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +85,62 @@ def parse_records(stream, keep, payloads: bool):
             stream.seek(length, 1)
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member with its own length in the extra field ``sl`` (compressed, plain)."""
+    press = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = press.compress(data) + press.flush()
+    total = 10 + 2 + 12 + len(body) + 8
+    extra = b"sl" + struct.pack("<HII", 8, total if total < 2**32 else 0, len(data) & 0xFFFFFFFF)
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def own_length(start: bytes) -> int:
+    """The length of a gzip member from its extra field, or 0."""
+    if len(start) < 12 or not start[3] & 4:
+        return 0
+    (size,) = struct.unpack_from("<H", start, 10)
+    fields, at = start[12 : 12 + size], 0
+    while at + 4 <= len(fields):
+        (n,) = struct.unpack_from("<H", fields, at + 2)
+        if fields[at : at + 2] == b"sl" and n == 8:
+            return struct.unpack_from("<I", fields, at + 4)[0]
+        at += 4 + n
+    return 0
+
+
+def gzip_records(file, keep, payloads: bool):
+    """Like ``parse_records`` for a file of gzip members, each a record."""
+    at, chunk = 0, 1 << 16
+    while True:
+        file.seek(at)
+        data = file.read(chunk)
+        if not data:
+            return
+        known, inflate, out, fed = own_length(data), zlib.decompressobj(31), bytearray(), len(data)
+        out += inflate.decompress(data, chunk)
+        while b"\r\n\r\n" not in out and not inflate.eof:
+            more = inflate.unconsumed_tail or file.read(chunk)
+            if not more:
+                raise ValueError(f"cut-off WARC record at byte {at}")
+            fed += 0 if inflate.unconsumed_tail else len(more)
+            out += inflate.decompress(more, chunk)
+        head = parse_records(io.BytesIO(bytes(out[: out.index(b"\r\n\r\n") + 4])), lambda h: True, False)
+        _, headers, _ = next(head)
+        wanted = keep(headers)
+        if not known or (wanted and payloads):
+            while not inflate.eof:
+                more = inflate.unconsumed_tail or file.read(chunk)
+                if not more:
+                    raise ValueError(f"cut-off WARC record at byte {at}")
+                fed += 0 if inflate.unconsumed_tail else len(more)
+                out += inflate.decompress(more)
+            known = known or fed - len(inflate.unused_data)
+        if wanted:
+            block = next(parse_records(io.BytesIO(bytes(out)), lambda h: True, True))[2] if payloads else None
+            yield at, headers, block
+        at += known
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -126,17 +188,14 @@ class WarcReader(DataSourceReader):
         for path in partition.paths:
             store, where = _store(path)
             with store.open_input_file(where) as raw:
-                import io
-
-                stream = io.BufferedReader(_Raw(raw), 1 << 20)
-                for at, h, payload in parse_records(stream, self.keep, self.payloads):
+                records = gzip_records(raw, self.keep, self.payloads) if path.endswith(".gz") else parse_records(io.BufferedReader(_Raw(raw), 1 << 20), self.keep, self.payloads)
+                for at, h, payload in records:
                     length = h.get("x-payload-length")
                     yield (h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest"), int(length) if length else None, path, at, payload)
 
 
 def _Raw(file):
     """An Arrow file as a raw stream for ``io.BufferedReader``."""
-    import io
 
     class Raw(io.RawIOBase):
         def readable(self):
@@ -178,17 +237,18 @@ class WarcWriter(DataSourceWriter):
     def __init__(self, options):
         self.path = options["path"]
         self.most = int(options.get("file_bytes", 256 << 20))
+        self.gzip = options.get("gzip", "true").lower() != "false"
 
     def write(self, iterator):
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
         files, out, size = [], None, 0
         for row in iterator:
-            data = record(row)
+            data = member(record(row)) if self.gzip else record(row)
             if out is None or size + len(data) > self.most:
                 if out is not None:
                     out.close()
-                files.append(f"part-{uuid.uuid4().hex}.warc")
+                files.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip)
                 out, size = store.open_output_stream(f"{root}/{files[-1]}"), 0
             out.write(data)
             size += len(data)
