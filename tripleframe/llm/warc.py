@@ -249,7 +249,7 @@ class WarcWriter(DataSourceWriter):
                 if out is not None:
                     out.close()
                 files.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip)
-                out, size = store.open_output_stream(f"{root}/{files[-1]}"), 0
+                out, size = store.open_output_stream(f"{root}/{files[-1]}", compression=None), 0
             out.write(data)
             size += len(data)
         if out is not None:
