@@ -123,8 +123,13 @@ def _literal(c: Column) -> Column:
     return c.startswith('"')
 
 
+def _body(c: Column) -> Column:
+    """Between the quotes, escapes as written."""
+    return F.regexp_extract(c, r'(?s)^"(.*)"', 1)
+
+
 def _lexical(c: Column) -> Column:
-    body = F.regexp_extract(c, r'(?s)^"(.*)"', 1)
+    body = _body(c)
     plain = F.replace(body, F.lit("\\\\"), F.lit("\x01"))
     for code, raw in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
         plain = F.replace(plain, F.lit(code), F.lit(raw))
@@ -145,7 +150,7 @@ def int_of(v: Val) -> Column:
         return v.i
     if v.shape != "nt":
         return NULL.cast("long")
-    return F.when(_datatype(v.col).isin(INTS), _lexical(v.col).try_cast("long"))
+    return F.when(_datatype(v.col).isin(INTS), _body(v.col).try_cast("long"))
 
 
 def num_of(v: Val) -> Column:
@@ -155,7 +160,7 @@ def num_of(v: Val) -> Column:
     if v.shape != "nt":
         return NULL.cast("double")
     dt = _datatype(v.col)
-    return F.when(dt.isin(FLOATS), _lexical(v.col).try_cast("double")).when(dt.isin(INTS), _lexical(v.col).try_cast("long").cast("double"))
+    return F.when(dt.isin(FLOATS + INTS), F.when(dt.isin(FLOATS) | _body(v.col).try_cast("long").isNotNull(), _body(v.col).try_cast("double")))
 
 
 def bool_of(v: Val) -> Column:
@@ -163,7 +168,7 @@ def bool_of(v: Val) -> Column:
         return v.col
     if v.shape != "nt":
         return NULL.cast("boolean")
-    lex = _lexical(v.col)
+    lex = _body(v.col)
     return F.when(_datatype(v.col) == BOOLEAN, F.when(lex.isin("true", "1"), True).when(lex.isin("false", "0"), False))
 
 
@@ -235,7 +240,7 @@ def moment_text(v: Val) -> Column:
         return stamp(v.col)
     if v.shape != "nt":
         return NULL.cast("string")
-    lex = _lexical(v.col)
+    lex = _body(v.col)
     return F.when(_datatype(v.col).isin(TIMES) & F.regexp_like(lex, F.lit(MOMENT)), lex)
 
 
@@ -400,11 +405,16 @@ def order_struct(v: Val) -> Column:
         return v.col
     if v.shape == "num":
         return v.i if v.whole else num_of(v)
-    k = kind(v)
-    group = F.when(v.col.isNull(), 0).when(k == TYPED, TEXT).otherwise(k)
-    number_key = F.when(k == NUMBER, num_of(v)).when(k == TIME, instant(v)).when(k == BOOL, bool_of(v).cast("double"))
-    text = F.when(k == TYPED, _lexical(v.col)).when(k == TEXT, text_of(v)).when(k.isin(IRI, BLANK), v.col)
-    return F.struct(group.cast("int").alias("g"), number_key.alias("n"), int_of(v).alias("i"), text.alias("t"))
+    c = v.col
+
+    def key(group, n=None, i=None, t=None):
+        empty = lambda x, kind: F.lit(None).cast(kind) if x is None else x
+        return F.struct(F.lit(group).alias("g"), empty(n, "double").alias("n"), empty(i, "long").alias("i"), empty(t, "string").alias("t"))
+
+    return (
+        F.when(c.isNull(), key(0)).when(c.startswith("_:"), key(1, t=c)).when(c.startswith("<"), key(2, t=c)).when(num_of(v).isNotNull(), key(NUMBER, num_of(v), int_of(v)))
+        .when(bool_of(v).isNotNull(), key(BOOL, bool_of(v).cast("double"))).when(instant(v).isNotNull(), key(TIME, instant(v))).otherwise(key(TEXT, t=_body(c)))
+    )
 
 
 def lift(v: Val) -> Val:

@@ -63,11 +63,11 @@ class Compiler:
         self.functions, self.transport, self.stats = functions or Registry(), transport, stats
         self.graph: tuple | None = None
         self.bases: dict[str, str] = {}
-        self.scope_outer: list[Rel] = []
+        self.prefix, self.depth = "v", 0
 
     # --- variables
     def base(self, var: str) -> str:
-        return self.bases.setdefault(var, f"v{len(self.bases)}")
+        return self.bases.setdefault(var, f"{self.prefix}{len(self.bases)}")
 
     def rel(self, df: DataFrame, vals: dict[str, Val], certain: set) -> Rel:
         """Selects the values of variables from a frame."""
@@ -499,19 +499,20 @@ class Compiler:
 
     def exists(self, pattern, rel: Rel, see) -> Column:
         """A correlated subquery. FILTERs at the top of the inner group that read outer variables are part of the condition."""
-        tests = []
-        if isinstance(pattern, S.Filter):
-            inner = self.pattern(pattern.inner)
-            for t in pattern.tests:
-                if t[0] != "exists" and S.expr_vars(t) <= inner.shapes.keys():
-                    inner.df = inner.df.where(V.ebv(self.expr(t, inner)))
+        before = self.bases, self.prefix
+        self.depth += 1
+        self.bases, self.prefix = {}, f"e{self.depth}x"  # an outer name must not occur inside, it would be taken for an inner column
+        try:
+            tests = []
+            own = self.pattern(pattern.inner if isinstance(pattern, S.Filter) else pattern)
+            for t in pattern.tests if isinstance(pattern, S.Filter) else []:
+                if t[0] != "exists" and S.expr_vars(t) <= own.shapes.keys():
+                    own.df = own.df.where(V.ebv(self.expr(t, own)))
                 else:
                     tests.append(t)
-        else:
-            inner = self.pattern(pattern)
-        shared = [v for v in rel.shapes if v in inner.shapes]
-        # inner columns get names of their own, so that outer ones can be told apart
-        own = Rel(inner.df.select(*[F.col(c).alias(f"x_{c}") for c in inner.df.columns]), inner.shapes, inner.certain, {v: f"x_{n}" for v, n in inner.names.items()})
+        finally:
+            self.bases, self.prefix = before
+        shared = [v for v in rel.shapes if v in own.shapes]
         outer = lambda v: rel.val(v, wrap=lambda c: F.col(c).outer())
         conditions = []
         for v in shared:
