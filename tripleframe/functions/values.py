@@ -427,7 +427,7 @@ def common(vals: list[Val]) -> str | tuple:
     if len(shapes) == 1:
         return next(iter(shapes))
     if {s for s, _ in shapes} == {"num"}:
-        return ("nt", "")
+        return ("num", False)
     if {s for s, _ in shapes} <= {"iri", "key"}:
         return ("iri", "")
     return ("nt", "")
@@ -438,4 +438,4 @@ def reshape(v: Val, shape: tuple) -> Val:
         return lift(v)
     if shape[0] == "iri":
         return Val("iri", iri_of(v))
-    return v
+    return number(v.i, num_of(v)) if shape == ("num", False) else v
