@@ -17,13 +17,13 @@ Nulls and odd cases: null or wordless texts match nothing; ids may be null or
 repeated, each row counts; empty tables give no rows; extra columns are ignored.
 """
 
-from __future__ import annotations
-
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, batches, shingle_stream, written
@@ -132,17 +132,17 @@ def _pass(docs: DataFrame, index: Index, percent: int) -> DataFrame:
     return docs.mapInArrow(run, PAIRS)
 
 
-def _clean_pass(rows: DataFrame, index: Index, percent: int) -> DataFrame:
+def holds_item(text: Column, index: Index, percent: int = PERCENT) -> Column:
+    """Whether a text holds an item of the index; other columns of a row stay in the JVM."""
     sizes = sorted({size for size, _ in index.tables})
 
-    def run(parts):
+    @F.pandas_udf("boolean")
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache = WordHashes()
-        for batch in parts:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield part.filter(pa.array([not leaks_in(text, index, sizes, cache, percent) for text in part.column("text").to_pylist()], pa.bool_()))
+        for column in columns:
+            yield pd.Series([bool(leaks_in(t, index, sizes, cache, percent)) for t in column], dtype="bool")
 
-    return rows.mapInArrow(run, rows.schema)
+    return run(text.cast("string"))
 
 
 def item_blocks(benchmark: DataFrame, size: int):
@@ -157,11 +157,12 @@ def item_blocks(benchmark: DataFrame, size: int):
         yield block
 
 
-def clean_rows(rows: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, hashes: int = HASHES, item_block: int = ITEM_BLOCK) -> DataFrame:
-    """The whole rows (which have a column text) that hold no item."""
+def clean_rows(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, hashes: int = HASHES, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """The whole rows that hold no item."""
     for k, block in enumerate(item_blocks(benchmark, item_block)):
-        rows = _clean_pass(written(rows, "clean") if k else rows, Index(block, shingle, hashes), percent)
-    return rows
+        docs = written(docs, "clean") if k else docs
+        docs = docs.where(~holds_item(docs["text"], Index(block, shingle, hashes), percent))
+    return docs
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, hashes: int = HASHES, item_block: int = ITEM_BLOCK) -> DataFrame:

@@ -68,7 +68,7 @@ def parse(html: str) -> tuple[list[tuple[tuple[str, ...], str, int]], list[tuple
     """Text blocks (path, text, words in links) in page order, and the path of each structural element."""
     stack: list[tuple[str, str]] = []
     blocks, opened, piece = [], [], []
-    path: tuple[str, ...] = ()
+    path: tuple[str, ...] = ("#",)
     links = link_words = 0
     at, n = 0, len(html)
 
@@ -92,7 +92,7 @@ def parse(html: str) -> tuple[list[tuple[tuple[str, ...], str, int]], list[tuple
     def pop_to(k):
         nonlocal path
         del stack[k:]
-        path = tuple(s for _, s in stack)
+        path = ("#", *(s for _, s in stack))
 
     while at < n:
         m = TOKEN.search(html, at)
@@ -143,7 +143,7 @@ def parse(html: str) -> tuple[list[tuple[tuple[str, ...], str, int]], list[tuple
             continue
         if len(stack) < 200:  # deeper nesting stays in its 200th ancestor
             stack.append((tag, step_of(tag, attributes)))
-            path = tuple(s for _, s in stack)
+            path = ("#", *(s for _, s in stack))
             opened.append(path)
     flush()
     return blocks, opened

@@ -13,14 +13,14 @@ first; repeated rows are judged each; a null doc_id or lang is never learnt from
 and a null doc_id is not held out. Extra columns are ignored.
 """
 
-from __future__ import annotations
-
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64
@@ -68,7 +68,7 @@ class Model:
     scripts: dict[str, list[bool]]  # script -> which languages use it
 
 
-def held_out(doc_id) -> F.Column:
+def held_out(doc_id) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
@@ -211,6 +211,20 @@ def label_words(texts: list, scores: WordScores, penalty: float) -> tuple[list[l
     return words, viterbi(paths, scores.table(), penalty)
 
 
+def judged(texts: list, scores: WordScores, model: Model, penalty: float) -> list[tuple[str, float]]:
+    """(language, share of the letters in its spans) of each text."""
+    out, langs = [], model.langs
+    words, labels = label_words(texts if langs else [None] * len(texts), scores, penalty)
+    for ws, label in zip(words, labels, strict=True):
+        if not ws:
+            out.append((UND, 0.0))
+            continue
+        weight = np.bincount(label, weights=np.fromiter(map(len, ws), np.float64, len(ws)), minlength=len(langs))
+        out.append((langs[int(weight.argmax())], float(weight.max() / weight.sum())))
+    scores.trim()
+    return out
+
+
 def identify(docs: DataFrame, model: Model, penalty: float = SWITCH) -> DataFrame:
     """Adds lang_pred and score (share of the letters in spans of that language) to
     (doc_id, text) rows; only doc_id is kept of the input."""
@@ -218,32 +232,28 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH) -> DataFram
 
 
 def _judge(docs: DataFrame, model: Model, penalty: float) -> DataFrame:
-    langs = model.langs
-
     def run(parts):
         scores = WordScores(model)
         for batch in parts:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                names, shares = [], []
-                words, labels = label_words(part.column("text").to_pylist() if langs else [None] * part.num_rows, scores, penalty)
-                for ws, label in zip(words, labels, strict=True):
-                    if not ws:
-                        names.append(UND)
-                        shares.append(0.0)
-                        continue
-                    weight = np.bincount(label, weights=np.fromiter(map(len, ws), np.float64, len(ws)), minlength=len(langs))
-                    names.append(langs[int(weight.argmax())])
-                    shares.append(float(weight.max() / weight.sum()))
-                scores.trim()
+                names, shares = zip(*judged(part.column("text").to_pylist(), scores, model, penalty), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, score double")
 
 
-def identified_rows(docs: DataFrame, model: Model, penalty: float = SWITCH) -> DataFrame:
-    """The whole rows of ``docs`` (which has a column text) with lang_pred and score."""
-    return _judge(docs, model, penalty)
+def predict(text: Column, model: Model, penalty: float = SWITCH) -> Column:
+    """A struct (lang_pred, score) for a text column; other columns of a row stay in the JVM."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scores = WordScores(model)
+        for column in columns:
+            got = [pair for at in range(0, len(column), 2048) for pair in judged(column.iloc[at : at + 2048].tolist(), scores, model, penalty)]
+            yield pd.DataFrame({"lang_pred": [p for p, _ in got], "score": [s for _, s in got]}, columns=["lang_pred", "score"])
+
+    return run(text.cast("string"))
 
 
 def language_spans(docs: DataFrame, model: Model, penalty: float = SWITCH) -> DataFrame:

@@ -219,7 +219,7 @@ def train(ids: DataFrame, rounds: int = ROUNDS, share: float = SHARE, rate: floa
                 for (blobs,) in batches(batch, ["classes"]):
                     context, target = windows([np.frombuffer(b, "<u2") for b in blobs])
                     key = mix64(np.arange(len(target), dtype=np.uint64) + np.uint64(seen * 31 + turn * 1_000_003 + part))
-                    pick = np.flatnonzero(key < np.uint64(int(share * 2**64 - 1)))
+                    pick = np.flatnonzero(key.astype(np.float64) < share * 2.0**64)
                     seen += len(target)
                     held_c.append(context[:, pick])
                     held_t.append(target[pick])

@@ -64,7 +64,7 @@ def travel_form(docs: DataFrame, stride: int, files: tuple) -> tuple[bytes, np.n
     order = np.argsort(-np.bincount(flow, minlength=1 << 16), kind="stable").astype("<u2")
     ranked = _inverse(order)[flow]
     samples = [ranked[k : k + stride].tobytes() for k in range(0, len(flow) - stride, stride)]
-    return zstandard.train_dictionary(112_640, samples).as_bytes() if len(samples) >= 50 else b"", order
+    return zstandard.train_dictionary(112_640, samples).as_bytes() if len(samples) * stride * 2 >= 1_000_000 else b"", order
 
 
 def _inverse(order: np.ndarray) -> np.ndarray:

@@ -175,7 +175,7 @@ class WarcReader(DataSourceReader):
                 room = self.split
             groups[-1].append(f"{self.path.rstrip('/')}/{info.base_name}")
             room -= info.size
-        return [Files(g) for g in groups]
+        return [Files(g) for g in groups] or [Files([])]
 
     def keep(self, headers) -> bool:
         for name, kind, value in self.wanted:
