@@ -7,7 +7,6 @@ and, but for the last, returns them with the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tripleframe.llm import decontaminate, langid, near_dups, packing
 from tripleframe.llm.common import written
@@ -16,8 +15,7 @@ from tripleframe.llm.common import written
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the stage's own documents that are not held out; rejects texts
     without a language (null, or no letter)."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return langid.identified_rows(rows, langid.train(docs)).where(F.col("lang_pred") != langid.UND).select("row.*")
+    return docs.where(langid.predict(docs["text"], langid.train(docs))["lang_pred"] != langid.UND)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold an item of ``benchmark``."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return decontaminate.clean_rows(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("row.*")
+    return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
