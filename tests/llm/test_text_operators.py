@@ -83,7 +83,7 @@ def test_near_duplicates_match_brute_force(spark):
 
 
 def test_near_duplicates_in_a_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    monkeypatch.setattr(near_dups, "BLOCK", 40_000)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(80)]
     rows = noisy_group(rng, base, 90, 3, 0)

@@ -14,7 +14,7 @@ linked if ``100 * |A & B| >= percent * |A | B|``; a group is a connected compone
   costs a few pairs a member; each pair is confirmed on the full sets of 64-bit
   shingle hashes.
 * Round 2 takes the buckets that still hold several components and compares all
-  members of different components, in blocks of at most ``BLOCK`` rows: signatures
+  members of different components, in blocks of about ``BLOCK`` bytes: signatures
   first, then the full sets, each pair in the first band it shares. A task returns
   a spanning forest of the links it confirms, so no more rows than members.
 
@@ -35,7 +35,8 @@ from pyspark.sql.window import Window
 from .common import WordHashes, ascii_words, batches, mix64, shingle_hashes, written
 
 BANDS, ROWS = 40, 6
-BLOCK = 512
+#: About so many bytes of members are compared with so many others in one task.
+BLOCK = 3_000_000
 TRIES = 3
 #: Signatures must agree in this much less than the wanted share: four standard deviations.
 SLACK = 0.11
@@ -160,15 +161,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
 
 
-def block_links(members: DataFrame, floor: float, percent: int) -> DataFrame:
+def block_links(placed: DataFrame, facts: DataFrame, floor: float, percent: int) -> DataFrame:
     """Links between members of one bucket in different components.
 
-    members: bucket, band, doc_id, component, sig, keys, hashes. A component with more
-    than BLOCK members has blocks of its own, smaller ones share blocks; a task gets
-    two blocks, and pairs of blocks of one large component are left out.
+    placed: bucket, band, doc_id, component; facts: doc_id, sig, keys, hashes. A
+    component of more than BLOCK bytes has blocks of its own, smaller ones share
+    blocks; a task gets two blocks, and pairs of blocks of one large component are
+    left out.
     """
-    slim = members.select("bucket", "band", "doc_id", "component")
-    sizes = slim.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    weight = facts.groupBy("doc_id").agg(F.sum(F.length("hashes") + 2000).alias("weight"))
+    slim = placed.join(weight, "doc_id").select("bucket", "band", "doc_id", "component", "weight")
+    sizes = slim.groupBy("bucket", "component").agg(F.sum("weight").alias("n"))
     split = F.when(F.col("n") > BLOCK, F.concat_ws(":", F.col("component"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK))))
     total = sizes.where(F.col("n") <= BLOCK).groupBy("bucket").agg(F.sum("n").alias("small"))
     keyed = slim.join(sizes, ["bucket", "component"]).join(total, "bucket", "left")
@@ -179,7 +182,7 @@ def block_links(members: DataFrame, floor: float, percent: int) -> DataFrame:
     tasks = blocks.join(other, "bucket").where("block <= block2").where("own is null or own2 is null or own <> own2").select("bucket", "block", "block2")
     sides = tasks.select("bucket", F.col("block").alias("take"), "block", "block2", F.lit(0).alias("side")).union(tasks.where("block <> block2").select("bucket", F.col("block2"), "block", "block2", F.lit(1)))
     dealt = keyed.withColumnRenamed("block", "take").join(sides, ["bucket", "take"]).select("bucket", "band", "block", "block2", "side", "doc_id", "component")
-    dealt = dealt.join(members.select("doc_id", "sig", "keys", "hashes").dropDuplicates(["doc_id", "sig"]), "doc_id")
+    dealt = dealt.join(facts, "doc_id")
 
     def compare(table):
         ids, comp, side, band = (table.column(c).to_numpy() for c in ("doc_id", "component", "side", "band"))
@@ -255,7 +258,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     placed = written(placed.join(mixed, "bucket"), "mixed")
     more = placed.select("doc_id").distinct().join(alike, "doc_id", "left_anti")
     sets = sets.union(written(sets_of(more), "sets"))
-    extra = written(block_links(placed.join(sigs, "doc_id").join(sets, "doc_id"), floor, percent), "links")
+    extra = written(block_links(placed, written(sigs.join(sets, "doc_id"), "facts"), floor, percent), "links")
     if not extra.isEmpty():
         groups = written(components(links.union(extra)), "groups")
 
