@@ -109,7 +109,7 @@ sparql("exists_corr", "SELECT ?c WHERE { ?c :c_acctbal ?b FILTER EXISTS { ?o :o_
 sparql("not_exists_corr", 'SELECT ?c WHERE { ?c :c_name ?n FILTER NOT EXISTS { ?o :o_customer ?c ; :o_orderstatus "F" } }', "SELECT 'http://ex/customer/' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 sparql("exists_in_or", "SELECT ?c WHERE { ?c :c_acctbal ?b FILTER(?b > 9000 || EXISTS { ?o :o_customer ?c ; :o_totalprice ?t FILTER(?t > 300000) }) }", "SELECT 'http://ex/customer/' || c_custkey AS c FROM customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 sparql("filter_logic", "SELECT ?p WHERE { ?p :p_size ?s ; :p_retailprice ?r FILTER(!(?s < 10) && (?r < 1200 || ?s = 50)) }", "SELECT 'http://ex/part/' || p_partkey AS p FROM part WHERE NOT (p_size < 10) AND (p_retailprice < 1200 OR p_size = 50)")
-sparql("subselect_topk", "SELECT ?c ?n ?t WHERE { { SELECT ?c (SUM(?p) AS ?t) WHERE { ?o :o_customer ?c ; :o_totalprice ?p } GROUP BY ?c ORDER BY DESC(?t) ?c LIMIT 10 } ?c :c_name ?n }", "SELECT 'http://ex/customer/' || c_custkey AS c, c_name AS n, t FROM (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1 ORDER BY t DESC, o_custkey LIMIT 10) JOIN customer ON c_custkey = o_custkey")
+sparql("subselect_topk", "SELECT ?c ?n ?t WHERE { { SELECT ?c (ROUND(SUM(?p)) AS ?t) WHERE { ?o :o_customer ?c ; :o_totalprice ?p } GROUP BY ?c ORDER BY DESC(?t) ?c LIMIT 10 } ?c :c_name ?n }", "SELECT 'http://ex/customer/' || c_custkey AS c, c_name AS n, t FROM (SELECT o_custkey, round(sum(o_totalprice)) AS t FROM orders GROUP BY 1 ORDER BY t DESC, o_custkey LIMIT 10) JOIN customer ON c_custkey = o_custkey")
 
 # --- modifiers
 sparql("distinct", "SELECT DISTINCT ?b ?t WHERE { ?p :p_brand ?b ; :p_type ?t }", "SELECT DISTINCT p_brand AS b, p_type AS t FROM part")
@@ -152,12 +152,12 @@ sparql("having", "SELECT ?c (COUNT(?o) AS ?n) WHERE { ?o :o_customer ?c } GROUP
 sparql("agg_arith", "SELECT ?s (SUM(?p) / COUNT(?p) AS ?mean) WHERE { ?p_ :p_brand ?s ; :p_size ?p } GROUP BY ?s", "SELECT p_brand AS s, sum(p_size) / count(*) AS mean FROM part GROUP BY 1")
 sparql("agg_empty_group", 'SELECT (COUNT(*) AS ?n) (SUM(?x) AS ?s) WHERE { ?p :p_brand "none" ; :p_size ?x }', "SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS s")
 sparql("group_expr", "SELECT ?y (COUNT(?o) AS ?n) WHERE { ?o :o_orderdate ?d } GROUP BY (YEAR(?d) AS ?y)", "SELECT CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM orders GROUP BY 1")
-sparql("flagship", "SELECT ?nation (COUNT(?o) AS ?n_orders) (SUM(?price) AS ?total) WHERE { ?o :o_customer ?c ; :o_totalprice ?price ; :o_orderstatus ?st . ?c :c_nation ?nk . ?nk :n_name ?nation FILTER(?price > 1000.0) } GROUP BY ?nation ORDER BY DESC(?total) LIMIT 10", "SELECT n_name AS nation, count(*) AS n_orders, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY total DESC LIMIT 10")
+sparql("flagship", "SELECT ?nation (COUNT(?o) AS ?n_orders) (ROUND(SUM(?price)) AS ?total) WHERE { ?o :o_customer ?c ; :o_totalprice ?price ; :o_orderstatus ?st . ?c :c_nation ?nk . ?nk :n_name ?nation FILTER(?price > 1000.0) } GROUP BY ?nation ORDER BY DESC(?total) LIMIT 10", "SELECT n_name AS nation, count(*) AS n_orders, round(sum(o_totalprice)) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY total DESC LIMIT 10")
 
 # --- functions
 sparql("fn_string", 'SELECT ?p (STRLEN(?n) AS ?l) (UCASE(?n) AS ?u) (LCASE(?b) AS ?w) (CONCAT(?b, "-", ?n) AS ?c) (CONTAINS(?n, "a") AS ?h) (STRSTARTS(?b, "Brand") AS ?s) (STRENDS(?b, "3") AS ?e) (STRBEFORE(?b, "#") AS ?x) (STRAFTER(?b, "#") AS ?y) WHERE { ?p :p_name ?n ; :p_brand ?b }', "SELECT 'http://ex/part/' || p_partkey AS p, CAST(length(p_name) AS BIGINT) AS l, upper(p_name) AS u, lower(p_brand) AS w, p_brand || '-' || p_name AS c, contains(p_name, 'a') AS h, starts_with(p_brand, 'Brand') AS s, ends_with(p_brand, '3') AS e, CASE WHEN instr(p_brand, '#') > 0 THEN substr(p_brand, 1, instr(p_brand, '#') - 1) ELSE '' END AS x, CASE WHEN instr(p_brand, '#') > 0 THEN substr(p_brand, instr(p_brand, '#') + 1) ELSE '' END AS y FROM part")
 sparql("fn_substr", "SELECT ?n (SUBSTR(?n, 2) AS ?a) (SUBSTR(?n, 2, 3) AS ?b) (SUBSTR(?n, 0, 3) AS ?c) WHERE { ?k :n_name ?n }", "SELECT n_name AS n, substr(n_name, 2) AS a, substr(n_name, 2, 3) AS b, substr(n_name, 1, 2) AS c FROM nation")
-sparql("fn_replace_regex", 'SELECT ?n (REPLACE(?n, "[AEIOU]", "_") AS ?a) (REGEX(?n, "^a", "i") AS ?b) WHERE { ?k :n_name ?n }', "SELECT n_name AS n, regexp_replace(n_name, '[AEIOU]', '_', 'g') AS a, regexp_matches(n_name, '(?i)^a') AS b FROM nation")
+sparql("fn_replace_regex", 'SELECT ?n (REPLACE(?n, "[AEIOU]", "_") AS ?a) (REGEX(?n, "^nation_1", "i") AS ?b) WHERE { ?k :n_name ?n }', "SELECT n_name AS n, regexp_replace(n_name, '[AEIOU]', '_', 'g') AS a, regexp_matches(n_name, '(?i)^nation_1') AS b FROM nation")
 sparql("fn_encode_uri", 'SELECT ?n (ENCODE_FOR_URI(CONCAT(?n, " &*~")) AS ?u) WHERE { ?k :n_name ?n }', "SELECT n_name AS n, url_encode(n_name || ' &*~') AS u FROM nation")
 sparql("fn_lang", 'SELECT ?n (LANG(STRLANG(?n, "en-GB")) AS ?l) (LANGMATCHES(LANG(STRLANG(?n, "en-GB")), "en") AS ?m) (LANG(?n) AS ?e) WHERE { ?k :n_name ?n }', "SELECT n_name AS n, 'en-GB' AS l, true AS m, '' AS e FROM nation")
 sparql("fn_datatype", "SELECT ?p (DATATYPE(?s) AS ?a) (DATATYPE(?r) AS ?b) (DATATYPE(?n) AS ?c) WHERE { ?p :p_size ?s ; :p_retailprice ?r ; :p_name ?n }", "SELECT 'http://ex/part/' || p_partkey AS p, 'http://www.w3.org/2001/XMLSchema#integer' AS a, 'http://www.w3.org/2001/XMLSchema#double' AS b, 'http://www.w3.org/2001/XMLSchema#string' AS c FROM part")
@@ -170,7 +170,7 @@ sparql("fn_if_coalesce", 'SELECT ?c (IF(?b > 0, "plus", "minus") AS ?s) (COALESC
 sparql("fn_term_tests", "SELECT ?k (ISIRI(?k) AS ?a) (ISLITERAL(?n) AS ?b) (ISBLANK(?k) AS ?c) (ISNUMERIC(?n) AS ?d) (STR(?k) AS ?s) (SAMETERM(?k, ?k) AS ?e) WHERE { ?k :n_name ?n }", "SELECT 'http://ex/nation/' || n_nationkey AS k, true AS a, true AS b, false AS c, false AS d, 'http://ex/nation/' || n_nationkey AS s, true AS e FROM nation")
 sparql("fn_in", 'SELECT ?c WHERE { ?c :c_mktsegment ?s FILTER(?s IN ("BUILDING", "MACHINERY")) }', "SELECT 'http://ex/customer/' || c_custkey AS c FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 sparql("fn_cast", "SELECT ?p (xsd:integer(?r) AS ?i) (xsd:double(?s) AS ?d) WHERE { ?p :p_retailprice ?r ; :p_size ?s }", "SELECT 'http://ex/part/' || p_partkey AS p, CAST(trunc(p_retailprice) AS BIGINT) AS i, CAST(p_size AS DOUBLE) AS d FROM part")
-sparql("fn_compare_time", 'SELECT ?o WHERE { ?o :o_orderdate ?d FILTER(?d < "1995-01-01T00:00:00Z"^^xsd:dateTime) }', "SELECT 'http://ex/order/' || o_orderkey AS o FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01 00:00:00'")
+sparql("fn_compare_time", 'SELECT ?o WHERE { ?o :o_orderdate ?d FILTER(?d < "1997-03-01T00:00:00Z"^^xsd:dateTime) }', "SELECT 'http://ex/order/' || o_orderkey AS o FROM orders WHERE o_orderdate < TIMESTAMP '1997-03-01 00:00:00'")
 sparql("fn_similarity", 'SELECT ?n (SIMILARITY(?n, "GERMANY") AS ?s) WHERE { ?k :n_name ?n }')
 sparql("fn_random", "SELECT (COUNT(*) AS ?n) WHERE { ?k :n_name ?x BIND(RAND() AS ?r) BIND(STRUUID() AS ?u) FILTER(?r < 1 && STRLEN(?u) = 36 && ISIRI(UUID())) }", "SELECT count(*) AS n FROM nation")
 
@@ -216,9 +216,9 @@ def graph_var(spark, sf_dir):
     return geo_store(spark, sf_dir).select(PRE + "SELECT ?g ?s ?n WHERE { GRAPH ?g { ?s :in ?r } ?s :name ?n }")
 
 
-@query("SELECT 'http://ex/nation/' || n_nationkey AS s, CAST(length(n_name) * 3 AS VARCHAR) AS x FROM nation WHERE length(n_name) > 6")
+@query("SELECT 'http://ex/nation/' || n_nationkey AS s, CAST(length(n_name) * 3 AS VARCHAR) AS x FROM nation WHERE length(n_name) > 8")
 def generic_terms(spark, sf_dir):
-    return geo_store(spark, sf_dir).select(PRE + "SELECT ?s (STR(?n * 3) AS ?x) WHERE { ?s :size ?n FILTER(?n > 6) }")
+    return geo_store(spark, sf_dir).select(PRE + "SELECT ?s (STR(?n * 3) AS ?x) WHERE { ?s :size ?n FILTER(?n > 8) }")
 
 
 @query("SELECT n_name AS n FROM nation WHERE n_nationkey < 5")
@@ -233,10 +233,10 @@ def upd_insert_data(spark, sf_dir):
     return store.select(PRE + "SELECT (COUNT(*) AS ?n) WHERE { ?s :size ?x }")
 
 
-@query("SELECT count(*) AS n FROM nation WHERE length(n_name) <= 6")
+@query("SELECT count(*) AS n FROM nation WHERE length(n_name) <= 8")
 def upd_delete_where(spark, sf_dir):
     store = geo_store(spark, sf_dir)
-    store.update(PRE + "DELETE { ?s :size ?x } WHERE { ?s :size ?x FILTER(?x > 6) }")
+    store.update(PRE + "DELETE { ?s :size ?x } WHERE { ?s :size ?x FILTER(?x > 8) }")
     return store.select(PRE + "SELECT (COUNT(*) AS ?n) WHERE { ?s :size ?x }")
 
 
@@ -448,3 +448,74 @@ def g_louvain(spark, sf_dir):
 @query()
 def g_louvain_directed(spark, sf_dir):
     return Graph(links(spark, sf_dir)).louvain(directed=True)
+
+
+# --- strings, vectors and grounding
+@query("SELECT '\"' || n_name || '\"' AS term, n_name AS text FROM nation WHERE contains(n_name, 'ION_1')")
+def trigram_contains(spark, sf_dir):
+    from .operators import strings
+
+    terms = strings.terms_of(geo_store(spark, sf_dir).quads.where("p = '<http://ex/name>'")).where(F.col("term").startswith('"'))
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("text"))
+    return strings.contains(terms.join(names, "text", "left_semi"), "ION_1", strings.trigram_index(terms))
+
+
+@query("SELECT '\"' || n_name || '\"' AS term, n_name AS text FROM nation WHERE starts_with(n_name, 'NATION_2')")
+def prefix_lookup(spark, sf_dir):
+    from .operators import strings
+
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("text"))
+    return strings.prefix(strings.terms_of(geo_store(spark, sf_dir).quads.where("p = '<http://ex/name>'")).join(names, "text", "left_semi"), "NATION_2").select("term", "text")
+
+
+@query("WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q.e::DOUBLE[]), 4) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q.e::DOUBLE[]) DESC, vec_id LIMIT 10")
+def vec_topk(spark, sf_dir):
+    from .qa.vectors import top_k
+
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    first = table.where("id = 0").first()["vec"]
+    return top_k(table, list(first), 10).select("id", F.round("score", 4).alias("score"))
+
+
+@query("SELECT '<http://ex/nation/' || n_nationkey || '>' AS s, '<http://ex/name>' AS p, '\"' || n_name || '\"' AS o FROM nation WHERE n_nationkey IN (3, 5)")
+def citations(spark, sf_dir):
+    from .qa.linking import citations as cite
+
+    triples = geo_store(spark, sf_dir).quads.where("g is null").select("s", "p", "o")
+    return cite(triples, [e("nation/3"), e("nation/5")], per_entity=1)
+
+
+@query("""SELECT '<http://ex/nation/' || n_nationkey || '>' AS s, '<http://ex/in>' AS p, '<http://ex/region/' || n_regionkey || '>' AS o FROM nation WHERE n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3)""")
+def graphrag_subgraph(spark, sf_dir):
+    from .qa.linking import subgraph
+
+    links_ = geo_store(spark, sf_dir).quads.where("p = '<http://ex/in>'").select("s", "p", "o")
+    return subgraph(links_, ["<http://ex/nation/3>"], hops=2)
+
+
+@query("SELECT '<http://ex/in>' AS predicate, 'out' AS side UNION ALL SELECT '<http://ex/name>', 'out' UNION ALL SELECT '<http://ex/size>', 'out'")
+def schema_context(spark, sf_dir):
+    from .qa.linking import schema_context as context
+
+    quads = geo_store(spark, sf_dir).quads.withColumn("g", F.lit(None).cast("string"))
+    got = context(quads, [e("nation/3")], []).entities[e("nation/3")]
+    return spark.createDataFrame([(p, "out") for p in got["out"]] + [(p, "in") for p in got["into"]], "predicate string, side string")
+
+
+@query("SELECT n_name AS text FROM nation WHERE n_nationkey = 7")
+def link_relax(spark, sf_dir):
+    from .qa.linking import Linker
+
+    name = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey = 7").first()["n_name"]
+    linker = Linker(geo_store(spark, sf_dir).quads, label="<http://ex/name>")
+    return spark.createDataFrame([(linker.link_mention(name.lower(), 1)[0].text,)], "text string")
+
+
+@query("""WITH p AS (SELECT DISTINCT quality AS k, doc_id AS v FROM labels WHERE toxic = 1), g AS (SELECT DISTINCT quality AS k, doc_id AS v FROM labels WHERE doc_id % 3 = 0),
+s AS (SELECT coalesce(p.k, g.k) AS k, count(p.v) AS np, count(g.v) AS ng, count(CASE WHEN p.v IS NOT NULL AND g.v IS NOT NULL THEN 1 END) AS hit FROM p FULL OUTER JOIN g ON p.k = g.k AND p.v = g.v GROUP BY 1)
+SELECT k, CASE WHEN np > 0 THEN hit / np ELSE 0.0 END AS precision, CASE WHEN ng > 0 THEN hit / ng ELSE 0.0 END AS recall, CASE WHEN hit > 0 THEN 2.0::DOUBLE * hit / (np + ng) ELSE 0.0 END AS f1 FROM s""")
+def eval_prf1(spark, sf_dir):
+    from .qa.evaluate import prf1_frame
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("quality").alias("k"), F.col("doc_id").alias("v"), "toxic")
+    return prf1_frame(labels.where("toxic = 1"), labels.where("v % 3 = 0"), "k", "v")
