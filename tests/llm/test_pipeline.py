@@ -1,9 +1,9 @@
 """The corpus pipeline against brute force, stage by stage."""
 
 import corpus_pipeline
-from tests_helpers import brute_near_kept
+from tests_helpers import brute_near_kept, plain_words
 
-from tripleframe.llm import decontaminate, langid
+from tripleframe.llm import langid
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,11 +20,11 @@ def test_stages_against_brute_force(spark):
     kept = brute_near_kept({d: rows[d] for d in kept}, 5)
     assert {r["doc_id"] for r in two.collect()} == kept
     three = corpus_pipeline.decontamination(spark, two, SF)
-    items = [decontaminate.normal_words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items = [plain_words(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in items if len(w) >= 5]
 
     def leaks(text):
-        w = decontaminate.normal_words(text)
+        w = plain_words(text)
         own = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
         return any(100 * len(g & own) >= 80 * len(g) for g in grams)
 

@@ -6,9 +6,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tests_helpers import plain_words
 
 from tripleframe.llm import bm25, decontaminate, langid, masked_lm, near_dups, packing, token_shards
-from tripleframe.llm.common import ascii_words
+from tripleframe.llm.common import WordStream, ascii_words
 from tripleframe.llm.tokens import SPECIAL, make_encoder, tokenizer_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -109,6 +110,15 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(201), 0), 400: 400, 450: 400, 500: 400}
 
 
+def test_word_stream_tells_words_apart():
+    stream = WordStream()
+    for text in [ENGLISH, FRENCH, "", "a_b A-B, ab ba é É ½x 日本 12 21", "x" * 9000 + " y", None]:
+        words = plain_words(text)
+        got = stream(text)
+        assert len(got) == len(words) and len(set(got.tolist())) == len(set(words))
+        assert dict(zip(words, got.tolist(), strict=True)) == {w: int(stream(w)[0]) for w in words}
+
+
 # --- tokens
 
 
@@ -289,12 +299,12 @@ def test_leaks_match_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
 
     def grams(text, n):
-        w = decontaminate.normal_words(text)
+        w = plain_words(text)
         return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
     want = set()
     for i, t in items:
-        n = min(5, len(decontaminate.normal_words(t)))
+        n = min(5, len(plain_words(t)))
         own = grams(t, n) if n else set()
         want |= {(d, i, len(own), len(own & grams(x, n))) for d, x in docs if own and 100 * len(own & grams(x, n)) >= 80 * len(own)}
     for block in (20_000, 7):
@@ -345,8 +355,8 @@ def test_masked_lm_scores_by_its_formula(spark):
     net = masked_lm.train(ids, rounds=3, share=1.0)
     got = {(r["doc_id"], r["n_words"]): r["log_likelihood"] for r in masked_lm.score(ids, net, vocab.spread).collect()}
     assert got[100, 0] == got[101, 0] == 0 and len(got) == len(rows)
-    words = rows[5][1].split()
-    classes = [vocab.classes.get(w, masked_lm.tail_class(w)) for w in words]
+    classes = vocab.of(*masked_lm.words_and_tails(WordStream(), rows[5][1])).tolist()
+    assert len(classes) == 40 and len(set(classes)) == 8 and max(classes) < masked_lm.WORDS
     padded = [masked_lm.PAD] * 2 + classes + [masked_lm.PAD] * 2
     total = 0.0
     for t, c in enumerate(classes):

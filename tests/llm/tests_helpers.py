@@ -1,8 +1,15 @@
 """Shared brute-force versions."""
 
+import re
+
 from tripleframe.llm.common import ascii_words
 
 
+def plain_words(text) -> list:
+    """Runs of letters and digits, lower-cased."""
+    return re.findall(r"[^\W_]+", text.lower()) if text else []
+
+
 def brute_near_kept(texts: dict, size: int) -> set:
     """Documents that stay: the smallest of each group at Jaccard 0.8."""
     sets = {}

@@ -2,43 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_M1 = np.uint64(0xBF58476D1CE4E5B9)
-_M2 = np.uint64(0x94D049BB133111EB)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Where it is
-    unset (tests in local mode), one temporary folder is set for the session."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        kept = getattr(spark.sparkContext, "_tripleframe_dir", None)
-        if kept is None:
-            kept = tempfile.mkdtemp(prefix="tripleframe-")
-            atexit.register(shutil.rmtree, kept, ignore_errors=True)
-            spark.sparkContext._tripleframe_dir = kept
-        where = "file://" + kept
-    return where.rstrip("/")
 
+from ..storage import fresh_path, shared_dir, written
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["WordHashes", "WordStream", "ascii_words", "batches", "fresh_path", "mix64", "shared_dir", "shingle_hashes", "shingle_stream", "shingles_of", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` once to the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_M1 = np.uint64(0xBF58476D1CE4E5B9)
+_M2 = np.uint64(0x94D049BB133111EB)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -74,6 +45,37 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+class WordStream:
+    """Hashes of the words of a text, runs of letters and digits after lower-casing,
+    without a Python object for each: a word's hash is the mixed sum over its
+    characters of a random number for the character times one for the place."""
+
+    def __init__(self, seed: int = 1):
+        import sys
+
+        self.inside = np.fromiter((chr(i).isalnum() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+        self.char = mix64(np.arange(1, sys.maxunicode + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        self.place = mix64(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+    def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code points, first and end place of each word) of the lower-cased text."""
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4") if text else np.empty(0, "<u4")
+        edge = np.diff(self.inside[codes].view(np.int8), prepend=0, append=0)
+        return codes, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+    def hashes(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        sizes = ends - starts
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        kept = codes[np.repeat(starts, sizes) + place]
+        return mix64(np.add.reduceat(self.char[kept] * self.place[place & 4095], first) + sizes.astype(np.uint64))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self.hashes(*self.spans(text))
+
+
 def shingle_hashes(words: list[bytes], size: int, cache: dict) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word ``size``-grams; a shorter
     sequence counts as one shingle, no words give none."""
@@ -85,8 +87,12 @@ def shingle_hashes(words: list[bytes], size: int, cache: dict) -> np.ndarray:
 
 def shingle_stream(words: list[bytes], size: int, cache: dict) -> np.ndarray:
     """Hash of each ``size``-gram in order of place."""
-    n = len(words)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
+    return shingles_of(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), size)
+
+
+def shingles_of(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each ``size``-gram of word hashes; a shorter sequence is one gram."""
+    n = len(h)
     if n <= size:
         out = np.full(1, n, np.uint64)
         for i in range(n):
@@ -103,8 +109,3 @@ def batches(batch, columns: list[str], rows: int = 256):
     for at in range(0, batch.num_rows, rows):
         part = batch.slice(at, rows)
         yield tuple(part.column(c).to_pylist() for c in columns)
-
-
-def renamed_apart(df: DataFrame, needed: list[str]) -> DataFrame:
-    """Only the needed columns, so that extra ones can't clash with ours."""
-    return df.select(*[F.col(f"`{c}`") for c in needed])

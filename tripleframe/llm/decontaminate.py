@@ -1,6 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-A test item leaks into a document if at least ``percent`` % of its distinct
+Words are runs of letters and digits, lower-cased: marks and layout don't hide a
+leak. A test item leaks into a document if at least ``percent`` % of its distinct
 5-word shingles are in the document (an item of fewer words counts as one
 shingle of its words). Items are partitioned by size; for items of at most u
 shingles a document is seen through overlapping windows of 2u shingles, which
@@ -17,7 +18,6 @@ Nulls and odd cases: null or wordless texts match nothing; ids may be null or
 repeated, each row counts; empty tables give no rows; extra columns are ignored.
 """
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches, shingle_stream, written
+from .common import WordStream, batches, shingles_of, written
 from .near_dups import hash_family
 
 SHINGLE, PERCENT = 5, 80
@@ -35,12 +35,6 @@ SMALLEST = 8
 ITEM_BLOCK = 20_000
 BITMAP = 1 << 22
 PAIRS = "doc_id long, item_id long, item_shingles long, shared long, containment double"
-WORD = re.compile(r"[^\W_]+")
-
-
-def normal_words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters and digits: marks and layout don't hide a leak."""
-    return WORD.findall(text.lower()) if text else []
 
 
 class Index:
@@ -49,13 +43,13 @@ class Index:
     def __init__(self, items: list[tuple], shingle: int, hashes: int):
         self.a, self.b = hash_family(hashes, seed=11)
         self.ids, self.sets, self.by = [], [], {}
-        cache = WordHashes()
+        stream = WordStream()
         for item, text in items:
-            words = normal_words(text)
-            if not words:
+            words = stream(text)
+            if not len(words):
                 continue
             size = min(shingle, len(words))
-            own = np.unique(shingle_stream(words, size, cache))
+            own = np.unique(shingles_of(words, size))
             u = max(SMALLEST, 1 << (len(own) - 1).bit_length())
             self.by.setdefault((size, u), []).append(len(self.ids))
             self.ids.append(item)
@@ -101,13 +95,13 @@ class Index:
         return found
 
 
-def leaks_in(text: str | None, index: Index, sizes: list[int], cache: WordHashes, percent: int) -> list[tuple[int, int]]:
+def leaks_in(text: str | None, index: Index, sizes: list[int], words_of: WordStream, percent: int) -> list[tuple[int, int]]:
     """(item number, shared shingles) of the items that leak into one text."""
-    out, words = [], normal_words(text)
+    out, words = [], words_of(text)
     for size in sizes:
         if len(words) < size:
             continue
-        stream = shingle_stream(words, size, cache)
+        stream = shingles_of(words, size)
         near = index.candidates(stream, size)
         whole = np.unique(stream) if near else None
         for item in sorted(near):
@@ -123,10 +117,10 @@ def _pass(docs: DataFrame, index: Index, percent: int) -> DataFrame:
     sizes = sorted({size for size, _ in index.tables})
 
     def run(parts):
-        cache = WordHashes()
+        stream = WordStream()
         for batch in parts:
             for ids, texts in batches(batch, ["doc_id", "text"]):
-                rows = [(doc, index.ids[item], len(index.sets[item]), shared, shared / len(index.sets[item])) for doc, text in zip(ids, texts, strict=True) for item, shared in leaks_in(text, index, sizes, cache, percent)]
+                rows = [(doc, index.ids[item], len(index.sets[item]), shared, shared / len(index.sets[item])) for doc, text in zip(ids, texts, strict=True) for item, shared in leaks_in(text, index, sizes, stream, percent)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "item_shingles", "shared", "containment"])
 
     return docs.mapInArrow(run, PAIRS)
@@ -138,9 +132,9 @@ def holds_item(text: Column, index: Index, percent: int = PERCENT) -> Column:
 
     @F.pandas_udf("boolean")
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache = WordHashes()
+        stream = WordStream()
         for column in columns:
-            yield pd.Series([bool(leaks_in(t, index, sizes, cache, percent)) for t in column], dtype="bool")
+            yield pd.Series([bool(leaks_in(t, index, sizes, stream, percent)) for t in column], dtype="bool")
 
     return run(text.cast("string"))
 

@@ -20,7 +20,6 @@ doc_id stays null; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix64, written
+from .common import WordStream, batches, mix64, written
 
-WORD = re.compile(r"[^\W_]+")
 GROUPS = 32
 CLASSES = GROUPS * GROUPS
 TAILS = 64
@@ -42,72 +40,86 @@ SHARE = 1 / 32
 PAD = CLASSES
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
-def tail_class(word: str) -> int:
-    """The class of a word without one of its own: by its last two letters."""
-    from zlib import crc32
-
-    return WORDS + crc32(word[-2:].encode("utf-8", "surrogatepass")) % TAILS
+def words_and_tails(stream: WordStream, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and the number (0 to TAILS - 1) of its last two characters."""
+    codes, starts, ends = stream.spans(text)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    last = codes[ends - 1].astype(np.uint64)
+    before = np.where(ends - starts > 1, codes[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
+    return stream.hashes(codes, starts, ends), (mix64(last * np.uint64(0x110000) + before) % np.uint64(TAILS)).astype(np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents; counted in each task first, in tables of bounded size."""
+    """(word hash, tail, n) over all documents; counted in each task first, in tables of bounded size."""
 
     def run(parts):
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        stream = WordStream()
+        held: list[tuple] = []
+        size = 0
+
+        def merged():
+            words, tails, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            own, first, where = np.unique(words, return_index=True, return_inverse=True)
+            return own, tails[first], np.bincount(where, n, len(own)).astype(np.int64)
+
+        def rows(words, tails, n):
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(tails.astype(np.int32)), pa.array(n)], names=["word", "tail", "n"])
 
-        counts: dict[str, int] = {}
         for batch in parts:
             for (texts,) in batches(batch, ["text"]):
-                for text in texts:
-                    for w in words_of(text):
-                        counts[w] = counts.get(w, 0) + 1
-                if len(counts) > 400_000:
-                    yield rows()
-                    counts = {}
-        yield rows()
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+                both = [words_and_tails(stream, t) for t in texts]
+                words, tails = np.concatenate([w for w, _ in both]), np.concatenate([t for _, t in both])
+                held.append((words, tails, np.ones(len(words), np.int64)))
+                size += len(words)
+                if size > 1_500_000:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > 700_000:
+                        yield rows(*held[0])
+                        held, size = [], 0
+        if held:
+            yield rows(*merged())
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, tail int, n long")
+    return counts.groupBy("word").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
 
 
 @dataclass
 class Vocabulary:
-    classes: dict  # word -> class, of WORDS words at most
+    words: np.ndarray  # hashes of the words with a class of their own, sorted
+    classes: np.ndarray  # their classes
     spread: np.ndarray  # per class: log of the number of word types in it
 
+    def of(self, words: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return WORDS + tails
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.classes[at], WORDS + tails)
+
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     counts = written(word_counts(docs), "word-counts")
-    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
-    classes = {w: i for i, w in enumerate(top)}
-    types = counts.agg(F.count("*")).first()[0]
-    tails = counts.groupBy((F.crc32(F.substring("word", -2, 2)) % TAILS).alias("tail")).agg(F.count("*").alias("n")).collect()  # TAILS rows
-    spread = np.zeros(CLASSES)
-    if types > len(top):
-        own = np.zeros(TAILS)
-        for w in top:
-            own[tail_class(w) - WORDS] += 1
-        for r in tails:
-            spread[WORDS + r["tail"]] = np.log(max(1.0, r["n"] - own[r["tail"]]))
-    return Vocabulary(classes, spread)
+    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    types = np.zeros(TAILS)
+    for r in counts.groupBy("tail").agg(F.count("*").alias("n")).collect():  # TAILS rows
+        types[r["tail"]] = r["n"]
+    for r in top:
+        types[r["tail"]] -= 1
+    spread = np.concatenate([np.zeros(WORDS), np.log(np.maximum(types, 1.0))])
+    return Vocabulary(words[order], order, spread)
 
 
 def class_ids(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """doc_id and the classes of all its words as little-endian uint16."""
 
-    class Classes(dict):
-        def __missing__(self, word):
-            return tail_class(word)
-
     def run(parts):
-        known = Classes(vocab.classes)
+        stream = WordStream()
         for batch in parts:
             for ids, texts in batches(batch, ["doc_id", "text"]):
-                got = [np.fromiter(map(known.__getitem__, words_of(t)), "<u2").tobytes() for t in texts]
+                got = [vocab.of(*words_and_tails(stream, t)).astype("<u2").tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got, pa.binary())], names=["doc_id", "classes"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, classes binary")

@@ -182,14 +182,36 @@ def block_links(placed: DataFrame, facts: DataFrame, floor: float, percent: int)
     tasks = blocks.join(other, "bucket").where("block <= block2").where("own is null or own2 is null or own <> own2").select("bucket", "block", "block2")
     sides = tasks.select("bucket", F.col("block").alias("take"), "block", "block2", F.lit(0).alias("side")).union(tasks.where("block <> block2").select("bucket", F.col("block2"), "block", "block2", F.lit(1)))
     dealt = keyed.withColumnRenamed("block", "take").join(sides, ["bucket", "take"]).select("bucket", "band", "block", "block2", "side", "doc_id", "component")
-    dealt = dealt.join(facts, "doc_id")
 
-    def compare(table):
-        ids, comp, side, band = (table.column(c).to_numpy() for c in ("doc_id", "component", "side", "band"))
+    def promising(sigs, keys, sizes, comp, side, band):
+        """For each left row: the right rows that may be alike enough, the most alike first."""
+        two = side.any()
+        right = np.flatnonzero(side == 1) if two else np.arange(len(side))
+        for i in np.flatnonzero(side == 0) if two else range(len(side)):
+            other = right if two else right[i + 1 :]
+            other = other[(comp[other] != comp[i]) & (100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i]))]
+            if len(other):
+                alike = (sigs[other] == sigs[i]).mean(axis=1)
+                good = np.flatnonzero((alike >= floor) & ((keys[other] == keys[i]).argmax(axis=1) == band[i]))
+                if len(good):
+                    yield i, other[good[np.argsort(-alike[good], kind="stable")]]
+
+    def columns(table):
+        comp, side, band, sizes = (table.column(c).to_numpy() for c in ("component", "side", "band", "size"))
         sigs = np.stack([np.frombuffer(x, "<u2") for x in table.column("sig").to_pylist()])
         keys = np.stack([np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()])
+        return sigs, keys, sizes, comp, side, band
+
+    def select(table):
+        hit = np.zeros(table.num_rows, bool)
+        for i, others in promising(*columns(table)):
+            hit[i] = True
+            hit[others] = True
+        return table.filter(pa.array(hit))
+
+    def compare(table):
+        ids, comp = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        sizes = np.array([len(x) for x in sets])
         group = {int(c): int(c) for c in comp}
 
         def root(c):
@@ -198,27 +220,23 @@ def block_links(placed: DataFrame, facts: DataFrame, floor: float, percent: int)
                 c = group[c]
             return c
 
-        two = side.any()
-        right = np.flatnonzero(side == 1) if two else np.arange(len(ids))
         a, b = [], []
-        for i in np.flatnonzero(side == 0) if two else range(len(ids)):
-            other = right if two else right[i + 1 :]
-            other = other[(comp[other] != comp[i]) & (100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i]))]
-            if not len(other):
-                continue
-            alike = (sigs[other] == sigs[i]).mean(axis=1)
-            first = (keys[other] == keys[i]).argmax(axis=1)
-            for k in np.argsort(-alike, kind="stable"):
-                if alike[k] < floor:
-                    break
-                j = other[k]
-                if first[k] == band[i] and root(int(comp[i])) != root(int(comp[j])) and enough(sets[i], sets[j], percent):
-                    group[root(int(comp[i]))] = root(int(comp[j]))
+        for i, others in promising(*columns(table)):
+            for j in others:
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x != y and enough(sets[i], sets[j], percent):
+                    group[x] = y
                     a.append(min(int(ids[i]), int(ids[j])))
                     b.append(max(int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("bucket", "block", "block2").applyInArrow(compare, "a long, b long").distinct()
+    # Signatures go to all tasks first; full sets only to those of documents that pass there.
+    small = facts.select("doc_id", "sig", "keys", (F.length("hashes") / 8).cast("long").alias("size"))
+    task = ["bucket", "block", "block2"]
+    light = dealt.join(small, "doc_id").select(*task, "band", "side", "doc_id", "component", "sig", "keys", "size")
+    chosen = written(light.groupBy(*task).applyInArrow(select, light.schema), "promising")
+    sets = facts.select("doc_id", (F.length("hashes") / 8).cast("long").alias("size"), "hashes", "sig")
+    return chosen.join(sets, ["doc_id", "size", "sig"]).groupBy(*task).applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -26,6 +26,19 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS g FROM w),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles FROM g),
+s AS (SELECT doc_id, unnest(g) AS h FROM g),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n_shingles + y.n_shingles - common)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y)
+SELECT doc_id, n_shingles, min(y) AS component_id, doc_id = min(y) AS kept FROM n JOIN r ON x = doc_id GROUP BY doc_id, n_shingles
+"""
+
+
 def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every text of ``documents``."""
     return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
@@ -94,4 +107,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_minhash, op3_masked_lm, op4_bm25, op5_token_shards, op6_warc, op7_url_filter, op8_packing, op9_decontaminate, op10_language_id)}
-ORACLE: dict[str, str] = {"op6_warc": OP6_SQL, "op9_decontaminate": OP9_SQL}
+ORACLE: dict[str, str] = {"op2_minhash": OP2_SQL, "op6_warc": OP6_SQL, "op9_decontaminate": OP9_SQL}
