@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .sources import rdf
-from .store import QUADS, Store, StoreError
+from .store import Store, StoreError
 
 
 class Catalog:
@@ -83,6 +83,3 @@ class Catalog:
 
     def monitor(self, name: str) -> dict:
         return self.get(name).stats().first().asDict() | {"version": self.get(name).version(), "up_seconds": int(time.time() - self.started)}
-
-    def empty(self):
-        return self.spark.createDataFrame([], QUADS)

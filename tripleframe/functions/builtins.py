@@ -50,7 +50,7 @@ def _number(whole, near):
 
 
 def round_half_away(d: Column) -> Column:
-    return F.when(F.abs(d) < 1e15, F.signum(d) * F.floor(F.abs(d) + 0.5).cast("double")).otherwise(d)
+    return F.when(F.abs(d) < 1e15, F.signum(d) * F.floor(F.abs(d) + 0.5).cast("double") + 0.0).otherwise(d)
 
 
 def substr(v, start, length=None):

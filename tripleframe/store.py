@@ -21,7 +21,7 @@ from .functions.builtins import Registry
 from .plans import sparql as S
 from .plans.compiler import Compiler, is_volatile
 from .storage import written
-from .terms import RDF, RDFS, TYPE, nt
+from .terms import RDFS, TYPE, nt
 
 QUADS = "g string, s string, p string, o string"
 KEY = ["g", "s", "p", "o"]
@@ -535,6 +535,3 @@ class Transaction:
         frame = self.store._frame
         self.store.change(adds=frame(sorted(self.adds, key=repr)) if self.adds else None, removes=frame(sorted(self.removes, key=repr)) if self.removes else None)
         return self.store.version()
-
-
-__all__ = ["Answer", "Conflict", "Engine", "Quads", "Store", "StoreError", "Transaction", "RDF"]
