@@ -38,6 +38,14 @@ def test_main_text_of_plain_divisions(spark):
     assert got[4]["text"] == "Story number 4 has its own words w4 v4 u4.\nAnd more of them, t4 s4."
 
 
+def test_main_text_with_an_own_header_and_side_parts(spark):
+    rows = []
+    for k in range(3):
+        body = f"<header><h2>Site</h2></header><main><article><header class='post-header'><h1>Own title {k}</h1></header><p>Body of story {k} goes on.</p><section id='readerComments'><p>I agree {k}</p></section><ol class='commentlist'><li>Me too</li></ol></article><div class='SponsoredBox'>Buy</div></main><div role='complementary'>Side</div>"
+        rows.append((k, f"http://one{k}.example.com/", page(body, k)))
+    assert texts(spark, rows)[1]["text"] == "Own title 1\nBody of story 1 goes on."
+
+
 def test_main_text_odd_inputs(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://a/", "plain words only"), (4, "http://a/", page("<article><p>cut &amp")[:-20]), (5, "http://a/", "<article><p>5 &lt; 6 <!-- gone --> ok"), (5, "http://a/", "<article><p>5 &lt; 6 <!-- gone --> ok"), (None, "http://a/", "<p>id</p>"), (7, "http://a/", "<p>" + "long " * 200_000 + "</p>"), (8, "http://a/", "<div " * 50 + "<p>x")]
     frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as host", "2 as main", "'x' as text", "3 as constant")

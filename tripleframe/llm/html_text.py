@@ -44,6 +44,7 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("
 #: Elements and class, id or role words that mark parts which aren't the article.
 APART = frozenset("head nav footer aside form button dialog menu".split())
 MARKS = frozenset("ad ads adv advert advertisement sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside rail cookie cookies consent notice alert popup modal gdpr comment comments reply replies disqus discussion footer header masthead topbar share sharing social related recommended widget newsletter subscribe signup login search pagination pager tags toolbar complementary contentinfo".split())
+STARTS = tuple("advert banner breadcrumb comment consent cookie footer navbar navigation newsletter popup promo sidebar sponsor subscri".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 LABEL = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -58,10 +59,22 @@ def step_of(tag: str, attributes: str) -> str:
     return ".".join([tag, *dict.fromkeys(words)]).replace("\n", " ")
 
 
-def marked(step: str) -> bool:
-    """Whether a step says that it is not part of an article."""
+def marked(step: str, inside: bool) -> bool:
+    """Whether a step says that it is not part of an article; ``inside`` an article or main element a header is its own."""
     tag, *words = step.split(".")
-    return tag in APART or any(w.lower() in MARKS for word in words for w in WORDS.findall(word))
+    if tag in APART or (tag == "header" and not inside):
+        return True
+    return any((w in MARKS and not (inside and w == "header")) or w.startswith(STARTS) for word in words for w in map(str.lower, WORDS.findall(word)))
+
+
+def apart(steps: list[str]) -> bool:
+    """Whether any step of a path is marked."""
+    inside = False
+    for step in steps:
+        if marked(step, inside):
+            return True
+        inside = inside or step.split(".")[0] in ("article", "main")
+    return False
 
 
 def parse(html: str) -> tuple[list[tuple[tuple[str, ...], str, int]], list[tuple[str, ...]]]:
@@ -183,7 +196,7 @@ def choose(tokens: list[tuple[str, int, int, float, int, int, int]], pages: int)
     held: dict[str, int] = {}
     for path, _, _, _, words, links, _ in tokens:
         steps = path.split("/")
-        if not words or 2 * links > words or any(map(marked, steps)) or path in constant:
+        if not words or 2 * links > words or apart(steps) or path in constant:
             continue
         for k in range(1, len(steps) + 1):
             up = "/".join(steps[:k])
@@ -228,8 +241,7 @@ def extract(blocks: list[tuple[tuple[str, ...], str, int]], main: str | None, co
         full = "/".join(steps)
         if not (full == main or full.startswith(f"{main}/")):
             continue
-        below = steps[main.count("/") + 1 :]
-        if any(map(marked, below)) or full in constant:
+        if apart(steps) or full in constant:
             continue
         out.append(text)
     return out
