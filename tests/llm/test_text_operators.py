@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests_helpers import plain_words
 
 from tripleframe.llm import bm25, decontaminate, langid, masked_lm, near_dups, packing, token_shards
-from tripleframe.llm.common import WordStream, ascii_words
+from tripleframe.llm.common import WordStream, ascii_words, written
 from tripleframe.llm.tokens import SPECIAL, make_encoder, tokenizer_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -351,7 +351,7 @@ def test_masked_lm_scores_by_its_formula(spark):
     rows = [(k, " ".join(["a b c d e f g h".split()[(k + i) % 8] for i in range(40)])) for k in range(60)] + [(100, None), (101, ""), (102, "zzz"), (0, "a b c")]
     docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
     vocab = masked_lm.vocabulary(docs)
-    ids = masked_lm.class_ids(docs, vocab)
+    ids = written(masked_lm.class_ids(docs, vocab), "ids")
     net = masked_lm.train(ids, rounds=3, share=1.0)
     got = {(r["doc_id"], r["n_words"]): r["log_likelihood"] for r in masked_lm.score(ids, net, vocab.spread).collect()}
     assert got[100, 0] == got[101, 0] == 0 and len(got) == len(rows)

@@ -210,7 +210,7 @@ def averaged(blobs: list[bytes], weights: list[float]) -> np.ndarray:
 
 
 def train(ids: DataFrame, rounds: int = ROUNDS, share: float = SHARE, rate: float = 2.0, batch_size: int = 256, seed: int = 5) -> Network:
-    """Parameter-averaged SGD; ids: doc_id, classes."""
+    """Parameter-averaged SGD; ids: doc_id, classes, as written to files."""
     net = Network(seed=seed)
     parts = max(1, ids.rdd.getNumPartitions())
     fan = max(1, int(np.ceil(np.sqrt(parts))))
