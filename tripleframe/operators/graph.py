@@ -463,3 +463,9 @@ class WeightedGraph:
             weights.append(F.col(f"w{k_}_"))
         total = sum(weights[1:], weights[0]) if score is None else score(*weights)
         return out.select(*names, total.alias("score")).orderBy(F.desc("score"), *names).limit(k)
+
+    def topk_subgraph_by(self, pattern, k: int, score) -> DataFrame:
+        return self.topk_subgraph(pattern, k, score)
+
+    #: The joins share their scans already, so the memoised variant is the same plan.
+    topk_subgraph_memoized = topk_subgraph
