@@ -61,7 +61,7 @@ def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: size of its set, fingerprint of the set, band keys, 16-bit signature and 32-bit band keys."""
+    """Per document: size of its set, fingerprint of the set, band keys, 8-bit signature and 32-bit band keys."""
 
     def run(parts):
         import xxhash
@@ -82,7 +82,7 @@ def features(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -
                         keys = mix64(keys + np.arange(bands, dtype=np.uint64))
                         out[2].append(xxhash.xxh3_128_digest(hashes.tobytes()))
                         out[3].append(keys.view(np.int64))
-                        out[4].append((mix64(low) >> np.uint64(48)).astype("<u2").tobytes())
+                        out[4].append((mix64(low) >> np.uint64(56)).astype(np.uint8).tobytes())
                         out[5].append(keys.astype("<u4").tobytes())
                     else:
                         for c in out[2:]:
@@ -109,7 +109,7 @@ def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     def run(parts):
         for batch in parts:
-            got = [float(np.mean(np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2"))) for x, y in zip(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist(), strict=True)]
+            got = [float(np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8))) for x, y in zip(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got, pa.float64())], names=["a", "b", "alike"])
 
     both = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
@@ -198,7 +198,7 @@ def block_links(placed: DataFrame, facts: DataFrame, floor: float, percent: int)
 
     def columns(table):
         comp, side, band, sizes = (table.column(c).to_numpy() for c in ("component", "side", "band", "size"))
-        sigs = np.stack([np.frombuffer(x, "<u2") for x in table.column("sig").to_pylist()])
+        sigs = np.stack([np.frombuffer(x, np.uint8) for x in table.column("sig").to_pylist()])
         keys = np.stack([np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()])
         return sigs, keys, sizes, comp, side, band
 
@@ -247,9 +247,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     member = written(found.where("fp is not null and doc_id is not null").select("doc_id", "fp").join(classes, "fp").select("doc_id", "rep"), "classes")
     sides = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))  # a repeated doc_id may have two texts
     twice = member.join(sides.where("a < b"), "doc_id").select("a", F.col("rep").alias("b")).where("a < b")
-    reps = found.join(classes.select("fp", "rep"), "fp").where("doc_id = rep").dropDuplicates(["doc_id", "fp"])
+    # A row that repeats a doc_id and text may stay twice here; pairs and links are distinct later.
+    reps = written(found.join(classes, "fp").where("doc_id = rep").select("doc_id", "bands", "sig", "keys"), "representatives")
 
-    rows_of = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
+    rows_of = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")  # dealt once, for the aggregate and the join
     some_of = F.min(F.struct(F.xxhash64("doc_id", "bucket"), F.col("doc_id").alias("id")))["id"]
     crowded = rows_of.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail"), some_of.alias("other")).where("head < tail").select("bucket", "head", "other")
     buckets = written(rows_of.join(crowded, "bucket"), "buckets")
