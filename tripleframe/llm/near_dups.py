@@ -148,9 +148,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = written(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct(), "edges")
     state = None
     while True:
-        both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select("hi", "lo"))
+        # Each star deals its edges once; the aggregate and the join share that exchange.
+        both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select("hi", "lo")).repartition("u")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").repartition("hi")
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(down.select("m", "hi")).where("lo < hi").distinct()
         now = written(small.select("lo", "hi"), "edges")
@@ -257,7 +258,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     some = written(buckets.select("doc_id").distinct(), "members")
     sigs = written(reps.join(some, "doc_id", "left_semi").select("doc_id", "sig", "keys"), "signatures")
 
-    heads = buckets.select(F.col("doc_id").alias("b"), F.explode(F.array("head", "other")).alias("a")).where("a <> b").distinct()
+    heads = buckets.select(F.col("doc_id").alias("b"), F.explode(F.array("head", "other")).alias("a")).where("a <> b")
+    heads = heads.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")  # round 2 sees the pairs of one band
     first = agreement(heads, sigs).where(F.col("alike") >= floor)
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("alike"), "a"))
     best = written(first.withColumn("rank", rank).where(F.col("rank") <= TRIES).select("a", "b"), "pairs")
@@ -278,8 +280,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     more = placed.select("doc_id").distinct().join(alike, "doc_id", "left_anti")
     sets = sets.union(written(sets_of(more), "sets"))
     extra = written(block_links(placed, written(sigs.join(sets, "doc_id"), "facts"), floor, percent), "links")
-    if not extra.isEmpty():
-        groups = written(components(links.union(extra)), "groups")
+    if not extra.isEmpty():  # components of components: the second graph has the new links only
+        of = lambda side, name: groups.select(F.col("node").alias(side), F.col("component").alias(name))
+        joined = extra.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        above = written(components(joined), "groups").select(F.col("node").alias("component"), F.col("component").alias("top"))
+        moved = groups.join(above, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        fresh = above.join(groups, above["component"] == groups["node"], "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
+        groups = written(moved.union(fresh), "groups")
 
     of = member.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(groups, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = found.select("doc_id", "n_shingles").join(of, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
