@@ -46,6 +46,31 @@ def test_main_text_with_an_own_header_and_side_parts(spark):
     assert texts(spark, rows)[1]["text"] == "Own title 1\nBody of story 1 goes on."
 
 
+def test_main_text_takes_slots_between_ordered_tokens(spark):
+    rows = []
+    for k in range(20):
+        parts = [f"<p class='a'>Lead of {k}.</p>Send this to friends", f"<p class='b'>Rest {k} of it.</p>Words {k} of an end"]
+        rows.append((k, "http://fixed.example.com/", page(f"<div class='box'>{''.join(parts)}</div>", k)))
+        rows.append((100 + k, "http://moving.example.com/", page(f"<div class='box'>{''.join(parts[:: 1 if k % 2 else -1])}</div>", k)))
+    got = texts(spark, rows)
+    assert got[3]["text"] == "Lead of 3.\nRest 3 of it.\nWords 3 of an end"
+    assert got[103]["text"] == "Lead of 3.\nSend this to friends\nRest 3 of it.\nWords 3 of an end"
+
+
+def test_classes_break_where_tokens_change_places():
+    def ranks(body):
+        return html_text.ranks(html_text.parse(body)[1], dict(classes))
+
+    first, second = "<div class=x><h1>t</h1></div>", "<div class=y></div>"
+    classes = html_text.classes_of([(p, 2, 7) for p, start in html_text.parse(first + second)[1] if start])
+    assert len({number for _, number in classes}) == 1
+    one, two = ranks(first + second), ranks(second + first)
+    valid = dict(html_text.in_order(classes, {p: (min(one[p], two[p]), max(one[p], two[p])) for p in one}))
+    assert valid["#/div.x"] == valid["#/div.x/h1"] != valid["#"] and valid["#/div.y"] not in (valid["#"], valid["#/div.x"])
+    assert html_text.in_order(classes, {p: (k, k) for p, k in one.items()}) == classes
+    assert ranks(first + second + first)["#/div.y"] == -1
+
+
 def test_main_text_odd_inputs(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://a/", "plain words only"), (4, "http://a/", page("<article><p>cut &amp")[:-20]), (5, "http://a/", "<article><p>5 &lt; 6 <!-- gone --> ok"), (5, "http://a/", "<article><p>5 &lt; 6 <!-- gone --> ok"), (None, "http://a/", "<p>id</p>"), (7, "http://a/", "<p>" + "long " * 200_000 + "</p>"), (8, "http://a/", "<div " * 50 + "<p>x")]
     frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as host", "2 as main", "'x' as text", "3 as constant")

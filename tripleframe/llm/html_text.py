@@ -1,17 +1,23 @@
 """Main text of web pages by equivalence-class template deduction.
 
-1. Every page becomes the paths of its structural elements (``html/body/nav``,
-   with the first class or id as in ``div.ad``) and its text blocks.
-2. A token is a path; its occurrence vector holds its number on each page of the
-   host. Tokens with equal vectors (compared by a 64-bit XOR of hashed entries, an
-   aggregate that combines before the shuffle) are one equivalence class.
-3. A class is valid if its tokens are on enough pages and keep one order; valid
-   classes nest by path into the host's template. What varies between template
-   tokens are the slots.
-4. The main slot is the template container that holds most words which are
-   neither links nor text that stays the same across pages nor in parts marked as
-   menus, headers, footers, sidebars, notices, adverts, forms or comments.
-   Within it, marked and constant parts are left out.
+1. Every page becomes its tokens, the starts and ends of structural elements, and its
+   text blocks. A token is named by its path (``html/body/nav``, with class, id and
+   role words as in ``div.ad``).
+2. A path's occurrence vector holds its number on each page of the host. Paths on at
+   least half of the pages with equal vectors (compared by a 64-bit XOR of hashed
+   entries, an aggregate that combines before the shuffle) are one equivalence class.
+3. A second pass finds the place of each path among those of its class and parent on
+   every page. Where places change (or repetitions differ), the class is broken: the
+   path and what lies below it become a class of their own, nested in the first.
+   The classes nest by path into the host's template.
+4. A third pass sums the text in the slots: a slot lies in one template element
+   between two tokens of that element's class. Text under paths that aren't in the
+   template (ids of single pages) is in the slot of the template element around it.
+5. A slot is constant if at least 95 % of the host's distinct pages that have it carry
+   one text. The main container is the template element that holds most words which
+   are neither links nor constant nor in parts marked as menus, headers, footers,
+   sidebars, notices, adverts, forms or comments. Its slots are the main text, but
+   for marked parts and constant slots.
 
 The statistics of a host are sums over all its pages; the template that comes back
 is a few strings, so a host with a third of the pages is an ordinary skewed join.
@@ -26,6 +32,7 @@ extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -56,7 +63,7 @@ def step_of(tag: str, attributes: str) -> str:
     if "=" in attributes:
         for _, a, b, c in LABEL.findall(attributes):
             words += (a or b or c).split()[:4]
-    return ".".join([tag, *dict.fromkeys(words)]).replace("\n", " ")
+    return ".".join([tag, *dict.fromkeys(words)]).replace("\n", " ").replace("/", "_")
 
 
 def marked(step: str, inside: bool) -> bool:
@@ -77,11 +84,12 @@ def apart(steps: list[str]) -> bool:
     return False
 
 
-def parse(html: str) -> tuple[list[tuple[tuple[str, ...], str, int]], list[tuple[str, ...]]]:
-    """Text blocks (path, text, words in links) in page order, and the path of each structural element."""
+def parse(html: str) -> tuple[list[tuple[str, str, int, int]], list[tuple[str, bool]]]:
+    """Text blocks (path, text, words in links, number of tokens before it) in page order, and
+    the tokens: the path of each structural element where it starts (True) and ends (False)."""
     stack: list[tuple[str, str]] = []
-    blocks, opened, piece = [], [], []
-    path: tuple[str, ...] = ("#",)
+    blocks, tokens, piece = [], [("#", True)], []
+    path = "#"
     links = link_words = 0
     at, n = 0, len(html)
 
@@ -98,14 +106,15 @@ def parse(html: str) -> tuple[list[tuple[tuple[str, ...], str, int]], list[tuple
         if piece:
             joined = " ".join("".join(piece).split())
             if joined:
-                blocks.append((path, joined, link_words))
+                blocks.append((path, joined, link_words, len(tokens)))
             piece.clear()
         link_words = 0
 
     def pop_to(k):
         nonlocal path
+        tokens.extend((p, False) for _, p in reversed(stack[k:]))
         del stack[k:]
-        path = ("#", *(s for _, s in stack))
+        path = stack[-1][1] if stack else "#"
 
     while at < n:
         m = TOKEN.search(html, at)
@@ -155,53 +164,113 @@ def parse(html: str) -> tuple[list[tuple[tuple[str, ...], str, int]], list[tuple
         if tag in VOID or attributes.endswith("/"):
             continue
         if len(stack) < 200:  # deeper nesting stays in its 200th ancestor
-            stack.append((tag, step_of(tag, attributes)))
-            path = ("#", *(s for _, s in stack))
-            opened.append(path)
+            path = f"{path}/{step_of(tag, attributes)}"
+            stack.append((tag, path))
+            tokens.append((path, True))
     flush()
-    return blocks, opened
-
-
-def page_tokens(html: str | None) -> list[tuple[str, int, int, int, int, int]]:
-    """Per path of a page: number, first place, words and link words of its own blocks, hash of their text."""
-    from zlib import crc32
-
-    if not html:
-        return []
-    blocks, opened = parse(html)
-    found: dict[tuple, list] = {}
-    for place, path in enumerate(opened):
-        found.setdefault(path, [0, place, 0, 0, 0])[0] += 1
-    for path, text, links in blocks:
-        row = found.setdefault(path, [0, len(opened), 0, 0, 0])
-        row[2] += len(text.split())
-        row[3] += links
-        row[4] = crc32(text.encode("utf-8", "surrogatepass"), row[4])
-    return [("/".join(s.replace("/", "_") for s in path), *row) for path, row in found.items()]
-
-
-def choose(tokens: list[tuple[str, int, int, float, int, int, int]], pages: int) -> tuple[str, list[str]]:
-    """(main container, constant paths) from a host's tokens
-    (path, pages with it, vector, mean first place, words, link words, distinct texts).
-    """
-    classes: dict[tuple, list] = {}
-    for t in tokens:
-        classes.setdefault((t[1], t[2]), []).append(t)
-    template = set()
-    for members in classes.values():
-        places = [(t[3], t[0].count("/")) for t in sorted(members, key=lambda t: (t[3], t[0].count("/")))]
-        if 2 * members[0][1] >= pages and places == sorted(places):
-            template.update(t[0] for t in members)
-    constant = [t[0] for t in tokens if pages >= 5 and t[4] and t[1] >= 5 and t[6] * 10 <= t[1] and not re.search(r"(^|/)(article|main)\b", t[0])]
+    pop_to(0)
+    return blocks, [*tokens, ("#", False)]
+
+
+def classes_of(tokens: list[tuple[str, int, int]]) -> list[tuple[str, int]]:
+    """(path, number of its equivalence class) from a host's tokens (path, pages with it, vector)."""
+    numbers: dict[tuple, int] = {}
+    return [(path, numbers.setdefault((n, vector), len(numbers))) for path, n, vector in sorted(tokens)]
+
+
+@lru_cache(64)
+def unpacked(packed: str) -> dict[str, int]:
+    """path -> class from lines of class, tab, path."""
+    return {path: int(number) for number, path in (line.split("\t") for line in packed.split("\n"))} if packed else {}
+
+
+def packed(classes: list[tuple[str, int]]) -> str:
+    return "\n".join(f"{number}\t{path}" for path, number in classes)
+
+
+def ranks(tokens: list[tuple[str, bool]], classes: dict[str, int]) -> dict[str, int]:
+    """The place of each path of a page among the paths of its class and parent; -1 if
+    these do not follow each other in one order, equally often, over the whole page."""
+    rows: dict[tuple, list[str]] = {}
+    for path, start in tokens:
+        if start and path in classes:
+            rows.setdefault((classes[path], path.rpartition("/")[0]), []).append(path)
+    found = {}
+    for row in rows.values():
+        once = list(dict.fromkeys(row))
+        regular = once * (len(row) // len(once)) == row
+        found.update((path, k if regular else -1) for k, path in enumerate(once))
+    return found
+
+
+def in_order(classes: list[tuple[str, int]], seen: dict[str, tuple[int, int]]) -> list[tuple[str, int]]:
+    """Classes broken into valid ones: a path whose place (least and greatest over all pages)
+    changes leaves its class, with those below it, as a class nested in the one it left."""
+    out: dict[str, int] = {}
+    whole, count = dict(classes), max((number for _, number in classes), default=0)
+    for path in sorted(whole, key=lambda p: p.count("/")):
+        low, high = seen.get(path, (-1, -1))
+        up = path.rpartition("/")[0]
+        while up and whole.get(up) != whole[path]:
+            up = up.rpartition("/")[0]
+        if low != high or low < 0:
+            count += 1
+            out[path] = count
+        else:
+            out[path] = out[up] if up else whole[path]
+    return sorted(out.items())
+
+
+def slots_of(blocks: list[tuple[str, str, int, int]], tokens: list[tuple[str, bool]], classes: dict[str, int]) -> list[str]:
+    """The slot of each text block: innermost template element, tab, and the last token
+    of that element's class that ended in it before the block."""
+    open_, out, at = [["#", ""]], [], 0
+    for path, start in [*tokens, ("", True)]:
+        while len(out) < len(blocks) and blocks[len(out)][3] == at:
+            out.append("\t".join(open_[-1]))
+        at += 1
+        if path not in classes or path == "#":
+            continue
+        if start:
+            open_.append([path, ""])
+        else:
+            open_.pop()
+            if classes[path] == classes.get(open_[-1][0]):
+                open_[-1][1] = path
+    return out
+
+
+def page_slots(blocks: list[tuple[str, str, int, int]], slots: list[str]) -> dict[str, list]:
+    """Per slot of a page: words, link words and hash of the text that isn't in marked parts."""
+    import xxhash
+
+    found: dict[str, list] = {}
+    for (path, text, links, _), slot in zip(blocks, slots, strict=True):
+        if not apart(path.split("/")):
+            row = found.setdefault(slot, [0, 0, xxhash.xxh64()])
+            row[0] += len(text.split())
+            row[1] += links
+            row[2].update(f"{text}\n".encode("utf-8", "surrogatepass"))
+    return {slot: [words, links, signed(text.intdigest())] for slot, (words, links, text) in found.items()}
+
+
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def choose(slots: list[tuple[str, int, int, int, int]], template: dict[str, int]) -> tuple[str, list[str]]:
+    """(main container, constant slots) from a host's slots (slot, pages with it, texts, words, link words)."""
+    constant = [slot for slot, n, texts, _, _ in slots if n >= 5 and texts * 10 <= n and not re.search(r"(^|/)(article|main)\b", slot.split("\t")[0])]
+    left_out = set(constant)
     held: dict[str, int] = {}
-    for path, _, _, _, words, links, _ in tokens:
-        steps = path.split("/")
-        if not words or 2 * links > words or apart(steps) or path in constant:
+    for slot, _, _, words, links in slots:
+        if 2 * links > words or slot in left_out:
             continue
+        steps = slot.split("\t")[0].split("/")
         for k in range(1, len(steps) + 1):
             up = "/".join(steps[:k])
             held[up] = held.get(up, 0) + words - links
-    inside = [p for p in held if p in template] or list(held)
+    inside = [p for p in held if p in template]
     if not inside:
         return "", constant
     whole = max(held.values())
@@ -210,40 +279,99 @@ def choose(tokens: list[tuple[str, int, int, float, int, int, int]], pages: int)
     return min(named, key=lambda p: (p.count("/"), -held[p], p)) if named else max(wide, key=lambda p: (p.count("/"), held[p], p)), constant
 
 
+def table_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"string": pa.string(), "long": pa.int64()}
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[kind]) for k, kind in enumerate(kinds)], names=list(names))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """Per host: its main container and constant paths, one per line. pages: host, page_id, html."""
+    """Per host: its template (paths by class), main container and constant slots. pages: host, page_id, html."""
+    pages = pages.where("html is not null and html <> ''")
 
-    def tokens(parts):
+    def count(parts):
         for batch in parts:
             for hosts, ids, texts in batches(batch, ["host", "page_id", "html"]):
-                rows = [(h, i, *t) for h, i, x in zip(hosts, ids, texts, strict=True) for t in page_tokens(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 5))], names=["host", "page_id", "path", "n", "place", "words", "links", "text"])
+                rows = []
+                for host, page, html in zip(hosts, ids, texts, strict=True):
+                    found: dict[str, int] = {}
+                    for path, start in parse(html)[1]:
+                        if start:
+                            found[path] = found.get(path, 0) + 1
+                    rows += [(host, page, path, n) for path, n in found.items()]
+                yield table_of(rows, "host string, page_id long, path string, n long")
+
+    each = pages.mapInArrow(count, "host string, page_id long, path string, n long")
+    stats = each.groupBy("host", "path").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page_id", "n")).alias("vector"))
+    most = pages.groupBy("host").agg(F.count("*").alias("most"))
+
+    def classify(table):
+        tokens = list(zip(*(table.column(c).to_pylist() for c in ("path", "pages", "vector")), strict=True))
+        return pa.table({"host": table.column("host")[:1], "classes": pa.array([packed(classes_of(tokens))])})
+
+    # A template's paths are on at least half of the pages: a host's task gets twice a page's paths at most.
+    classes = written(stats.join(most, "host").where("2 * pages >= most").drop("most").groupBy("host").applyInArrow(classify, "host string, classes string"), "classes")
+
+    def order(parts):
+        seen: dict[str, dict[str, list]] = {}
+        for batch in parts:
+            for hosts, texts, known in batches(batch, ["host", "html", "classes"]):
+                for host, html, lines in zip(hosts, texts, known, strict=True):
+                    own = seen.setdefault(host, {})
+                    for path, k in ranks(parse(html)[1], unpacked(lines)).items():
+                        row = own.setdefault(path, [k, k])
+                        row[0], row[1] = min(row[0], k), max(row[1], k)
+            if sum(map(len, seen.values())) > 50_000:
+                yield flat(seen)
+                seen = {}
+        yield flat(seen)
+
+    def flat(seen):
+        return table_of([(host, path, *row) for host, own in seen.items() for path, row in own.items()], "host string, path string, low long, high long")
+
+    places = pages.join(classes, "host").select("host", "html", "classes").mapInArrow(order, "host string, path string, low long, high long").groupBy("host", "path").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+    def validate(key, left, right):
+        if not left.num_rows:
+            return left.select(["host", "classes"])
+        seen = {p: (a, b) for p, a, b in zip(*(right.column(c).to_pylist() for c in ("path", "low", "high")), strict=True)}
+        valid = in_order(list(unpacked(left.column("classes")[0].as_py()).items()), seen)
+        return pa.table({"host": left.column("host"), "classes": pa.array([packed(valid)])})
+
+    template = written(classes.groupBy("host").cogroup(places.groupBy("host")).applyInArrow(validate, "host string, classes string"), "template")
+    schema = "host string, slot string, text long, page long, words long, links long"
+
+    def measure(parts):
+        import xxhash
 
-    each = pages.mapInArrow(tokens, "host string, page_id long, path string, n long, place long, words long, links long, text long")
-    stats = each.groupBy("host", "path").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page_id", "n")).alias("vector"), F.avg("place").alias("place"), F.sum("words").alias("words"), F.sum("links").alias("links"), F.approx_count_distinct(F.when(F.col("words") > 0, F.col("text"))).alias("texts"))
+        for batch in parts:
+            for hosts, texts, known in batches(batch, ["host", "html", "classes"]):
+                rows = []
+                for host, html, lines in zip(hosts, texts, known, strict=True):
+                    blocks, tokens = parse(html)
+                    page = signed(xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")))
+                    found = page_slots(blocks, slots_of(blocks, tokens, unpacked(lines)))
+                    rows += [(host, slot, text, page, words, links) for slot, (words, links, text) in found.items()]
+                yield table_of(rows, schema)
+
+    slots = pages.join(template, "host").select("host", "html", "classes").mapInArrow(measure, schema).groupBy("host", "slot").agg(F.count("*").alias("pages"), F.approx_count_distinct("text").alias("texts"), F.sum("words").alias("words"), F.sum("links").alias("links"))
 
-    def deduce(table):
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("path", "pages", "vector", "place", "words", "links", "texts")), strict=True))
-        pages = max(r[1] for r in rows)
-        main, constant = choose(rows, pages)
-        return pa.table({"host": pa.array(table.column("host").to_pylist()[:1], pa.string()), "main": pa.array([main], pa.string()), "constant": pa.array(["\n".join(constant)], pa.string())})
+    def deduce(key, left, right):
+        if not left.num_rows:
+            return pa.table({c: pa.array([], pa.string()) for c in ("host", "classes", "main", "constant")})
+        lines = left.column("classes")[0].as_py()
+        main, constant = choose(list(zip(*(right.column(c).to_pylist() for c in ("slot", "pages", "texts", "words", "links")), strict=True)), unpacked(lines))
+        return pa.table({"host": left.column("host"), "classes": left.column("classes"), "main": pa.array([main], pa.string()), "constant": pa.array(["\n".join(constant)], pa.string())})
 
-    # A path on fewer than one page in a hundred isn't part of a template: what a host's task gets is bounded by its pages' size.
-    most = stats.groupBy("host").agg(F.max("pages").alias("most"))
-    return stats.join(most, "host").where("pages * 100 >= most").drop("most").groupBy("host").applyInArrow(deduce, "host string, main string, constant string")
+    return template.groupBy("host").cogroup(slots.groupBy("host")).applyInArrow(deduce, "host string, classes string, main string, constant string")
 
 
-def extract(blocks: list[tuple[tuple[str, ...], str, int]], main: str | None, constant: set[str]) -> list[str]:
-    """Texts of the blocks in the main slot, in page order."""
+def extract(blocks: list[tuple[str, str, int, int]], slots: list[str], main: str, constant: set[str]) -> list[str]:
+    """Texts of the blocks in the main container's slots, in page order."""
     out = []
-    for path, text, links in blocks:
-        steps = [s.replace("/", "_") for s in path]
-        full = "/".join(steps)
-        if not (full == main or full.startswith(f"{main}/")):
-            continue
-        if apart(steps) or full in constant:
-            continue
-        out.append(text)
+    for (path, text, _, _), slot in zip(blocks, slots, strict=True):
+        if f"{path}/".startswith(f"{main}/") and slot not in constant and not apart(path.split("/")):
+            out.append(text)
     return out
 
 
@@ -254,15 +382,16 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(parts):
         for batch in parts:
-            for ids, urls, texts, mains, constants in batches(batch, ["page_id", "url", "html", "main", "constant"]):
+            for ids, urls, texts, known, mains, constants in batches(batch, ["page_id", "url", "html", "classes", "main", "constant"]):
                 got = []
-                for html, main, constant in zip(texts, mains, constants, strict=True):
-                    blocks, _ = parse(html) if html else ([], None)
-                    found = extract(blocks, main, set((constant or "").split("\n"))) if main else []
+                for html, lines, main, constant in zip(texts, known, mains, constants, strict=True):
+                    blocks, tokens = parse(html) if html else ([], [])
+                    found = extract(blocks, slots_of(blocks, tokens, unpacked(lines)), main, set(constant.split("\n"))) if main and blocks else []
                     if blocks and not found:
-                        rows = [(p, 1, 0, i, w, k, 2) for i, (p, _, _, w, k, _) in enumerate(page_tokens(html))]
-                        main, _ = choose(rows, 1)
-                        found = extract(blocks, main, set()) if main else []
+                        own = dict(classes_of([(p, 1, k) for k, p in enumerate({p for p, _ in tokens})]))
+                        slots = slots_of(blocks, tokens, own)
+                        main, _ = choose([(s, 1, 1, w, k) for s, (w, k, _) in page_slots(blocks, slots).items()], own)
+                        found = extract(blocks, slots, main, set()) if main else []
                     got.append("\n".join(found))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(got, pa.string()), pa.array(list(map(len, got)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
