@@ -71,6 +71,13 @@ def test_classes_break_where_tokens_change_places():
     assert ranks(first + second + first)["#/div.y"] == -1
 
 
+@pytest.mark.parametrize("pages", [100, 101, 250])
+def test_main_text_under_ids_of_single_pages(spark, pages):
+    rows = [(k, "http://ids.example.com/", page(f"<div class=top><h1>Title {k}</h1></div><div id=post-{k}><p>Body of page {k}, w{k}.</p></div>", k)) for k in range(pages)]
+    got = texts(spark, rows)
+    assert all(got[k]["text"] == f"Title {k}\nBody of page {k}, w{k}." for k in range(pages))
+
+
 def test_main_text_odd_inputs(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://a/", "plain words only"), (4, "http://a/", page("<article><p>cut &amp")[:-20]), (5, "http://a/", "<article><p>5 &lt; 6 <!-- gone --> ok"), (5, "http://a/", "<article><p>5 &lt; 6 <!-- gone --> ok"), (None, "http://a/", "<p>id</p>"), (7, "http://a/", "<p>" + "long " * 200_000 + "</p>"), (8, "http://a/", "<div " * 50 + "<p>x")]
     frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as host", "2 as main", "'x' as text", "3 as constant")
