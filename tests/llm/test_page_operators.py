@@ -78,6 +78,15 @@ def test_main_text_under_ids_of_single_pages(spark, pages):
     assert all(got[k]["text"] == f"Title {k}\nBody of page {k}, w{k}." for k in range(pages))
 
 
+def test_main_text_of_hosts_full_of_copies(spark):
+    rows = [(k, "http://copies.example.com/", page(f"<div class='note'>All rights reserved</div><div class='body'><p>Article {k % 20} has words w{k % 20}.</p></div><div class='date'>Day {k}</div>", k % 20)) for k in range(1000)]
+    got = texts(spark, rows)
+    assert got[45]["text"] == "Article 5 has words w5.\nDay 45"
+    same = [(k, "http://same.example.com/", page("<div class='body'><p>The one article.</p></div>")) for k in range(30)]
+    other = [(50 + k, "http://same.example.com/", page(f"<div class='body'><p>Other article {k}.</p></div>")) for k in range(3)]
+    assert texts(spark, same + other)[4]["text"] == "The one article."
+
+
 def test_main_text_odd_inputs(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://a/", "plain words only"), (4, "http://a/", page("<article><p>cut &amp")[:-20]), (5, "http://a/", "<article><p>5 &lt; 6 <!-- gone --> ok"), (5, "http://a/", "<article><p>5 &lt; 6 <!-- gone --> ok"), (None, "http://a/", "<p>id</p>"), (7, "http://a/", "<p>" + "long " * 200_000 + "</p>"), (8, "http://a/", "<div " * 50 + "<p>x")]
     frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as host", "2 as main", "'x' as text", "3 as constant")

@@ -259,8 +259,8 @@ def signed(value: int) -> int:
 
 
 def choose(slots: list[tuple[str, int, int, int, int]], template: dict[str, int]) -> tuple[str, list[str]]:
-    """(main container, constant slots) from a host's slots (slot, pages with it, texts, words, link words)."""
-    constant = [slot for slot, n, texts, _, _ in slots if n >= 5 and texts * 10 <= n and not re.search(r"(^|/)(article|main)\b", slot.split("\t")[0])]
+    """(main container, constant slots) from a host's slots (slot, pages with it, pages with its most frequent text, words, link words)."""
+    constant = [slot for slot, n, same, _, _ in slots if n >= 5 and same * 20 >= n * 19 and not re.search(r"(^|/)(article|main)\b", slot.split("\t")[0])]
     left_out = set(constant)
     held: dict[str, int] = {}
     for slot, _, _, words, links in slots:
@@ -349,18 +349,20 @@ def templates(pages: DataFrame) -> DataFrame:
                 rows = []
                 for host, html, lines in zip(hosts, texts, known, strict=True):
                     blocks, tokens = parse(html)
-                    page = signed(xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")))
+                    page = signed(xxhash.xxh64_intdigest("\n".join(text for _, text, _, _ in blocks).encode("utf-8", "surrogatepass")))
                     found = page_slots(blocks, slots_of(blocks, tokens, unpacked(lines)))
                     rows += [(host, slot, text, page, words, links) for slot, (words, links, text) in found.items()]
                 yield table_of(rows, schema)
 
-    slots = pages.join(template, "host").select("host", "html", "classes").mapInArrow(measure, schema).groupBy("host", "slot").agg(F.count("*").alias("pages"), F.approx_count_distinct("text").alias("texts"), F.sum("words").alias("words"), F.sum("links").alias("links"))
+    slots = pages.join(template, "host").select("host", "html", "classes").mapInArrow(measure, schema).distinct()  # a page's copies count once
+    slots = slots.groupBy("host", "slot", "text").agg(F.count("*").alias("pages"), F.sum("words").alias("words"), F.sum("links").alias("links"))
+    slots = slots.groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.max("pages").alias("same"), F.sum("words").alias("words"), F.sum("links").alias("links"))
 
     def deduce(key, left, right):
         if not left.num_rows:
             return pa.table({c: pa.array([], pa.string()) for c in ("host", "classes", "main", "constant")})
         lines = left.column("classes")[0].as_py()
-        main, constant = choose(list(zip(*(right.column(c).to_pylist() for c in ("slot", "pages", "texts", "words", "links")), strict=True)), unpacked(lines))
+        main, constant = choose(list(zip(*(right.column(c).to_pylist() for c in ("slot", "pages", "same", "words", "links")), strict=True)), unpacked(lines))
         return pa.table({"host": left.column("host"), "classes": left.column("classes"), "main": pa.array([main], pa.string()), "constant": pa.array(["\n".join(constant)], pa.string())})
 
     return template.groupBy("host").cogroup(slots.groupBy("host")).applyInArrow(deduce, "host string, classes string, main string, constant string")
@@ -390,7 +392,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                     if blocks and not found:
                         own = dict(classes_of([(p, 1, k) for k, p in enumerate({p for p, _ in tokens})]))
                         slots = slots_of(blocks, tokens, own)
-                        main, _ = choose([(s, 1, 1, w, k) for s, (w, k, _) in page_slots(blocks, slots).items()], own)
+                        main, _ = choose([(s, 1, 0, w, k) for s, (w, k, _) in page_slots(blocks, slots).items()], own)
                         found = extract(blocks, slots, main, set()) if main else []
                     got.append("\n".join(found))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(got, pa.string()), pa.array(list(map(len, got)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
