@@ -87,6 +87,19 @@ def test_main_text_of_hosts_full_of_copies(spark):
     assert texts(spark, same + other)[4]["text"] == "The one article."
 
 
+def test_main_text_of_many_class_words_and_deep_pages(spark):
+    side = "<div class='col-12 col-md-3 order-2 d-none sidebar'><p>Side {k} words</p></div>"
+    long = f"<div class='{' '.join(f'u{i}' for i in range(500))} sidebar'><p>Far side</p></div>"
+    deep = "<article><h1>Title</h1>" + "<div>" * 250 + "<p>Deep text</p>" + "</div>" * 250 + "<p>After it</p></article>"
+    rows = [(k, "http://deep.example.com/", page(f"<article><h1>Title {k}</h1><p>Story {k} of many words.</p>{side.format(k=k)}{long}</article>", k)) for k in range(3)]
+    rows.append((9, "http://nested.example.com/", page(deep + "<footer>End</footer>")))
+    got = texts(spark, rows)
+    assert got[1]["text"] == "Title 1\nStory 1 of many words."
+    assert got[9]["text"] == "Title\nDeep text\nAfter it"
+    assert dict(html_text.parse("<div>" * 250 + "</div>" * 250 + "<p>x</p>")[1][-3:-1]) == {"#/p": False}
+
+
+
 def test_main_text_odd_inputs(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://a/", "plain words only"), (4, "http://a/", page("<article><p>cut &amp")[:-20]), (5, "http://a/", "<article><p>5 &lt; 6 <!-- gone --> ok"), (5, "http://a/", "<article><p>5 &lt; 6 <!-- gone --> ok"), (None, "http://a/", "<p>id</p>"), (7, "http://a/", "<p>" + "long " * 200_000 + "</p>"), (8, "http://a/", "<div " * 50 + "<p>x")]
     frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as host", "2 as main", "'x' as text", "3 as constant")

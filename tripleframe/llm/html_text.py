@@ -34,6 +34,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 from html import unescape
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,11 +59,15 @@ LABEL = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))
 
 
 def step_of(tag: str, attributes: str) -> str:
-    """One step of a path: the element with its class, id and role words."""
+    """One step of a path: the element with its class, id and role words; for very long
+    lists of them a hash, after a word that marks like they do."""
     words = []
     if "=" in attributes:
         for _, a, b, c in LABEL.findall(attributes):
-            words += (a or b or c).split()[:4]
+            words += (a or b or c).split()
+        if sum(map(len, words)) > 400:
+            mark = next((["sidebar", "header"][k] for k, inside in enumerate((True, False)) if any(marked(f"div.{w}", inside) for w in words)), None)
+            words = [*([mark] if mark else []), f"{crc32(' '.join(words).encode('utf-8', 'surrogatepass')):08x}"]
     return ".".join([tag, *dict.fromkeys(words)]).replace("\n", " ").replace("/", "_")
 
 
@@ -87,7 +92,8 @@ def apart(steps: list[str]) -> bool:
 def parse(html: str) -> tuple[list[tuple[str, str, int, int]], list[tuple[str, bool]]]:
     """Text blocks (path, text, words in links, number of tokens before it) in page order, and
     the tokens: the path of each structural element where it starts (True) and ends (False)."""
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, bool]] = []  # element, path, whether the path is its own
+    open_now: dict[str, int] = {}
     blocks, tokens, piece = [], [("#", True)], []
     path = "#"
     links = link_words = 0
@@ -112,7 +118,10 @@ def parse(html: str) -> tuple[list[tuple[str, str, int, int]], list[tuple[str, b
 
     def pop_to(k):
         nonlocal path
-        tokens.extend((p, False) for _, p in reversed(stack[k:]))
+        for tag, p, own in reversed(stack[k:]):
+            open_now[tag] -= 1
+            if own:
+                tokens.append((p, False))
         del stack[k:]
         path = stack[-1][1] if stack else "#"
 
@@ -141,7 +150,7 @@ def parse(html: str) -> tuple[list[tuple[str, str, int, int]], list[tuple[str, b
         flush()
         links = 0 if tag != "a" else links
         if close:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1 if open_now.get(tag) else -1, -1, -1):
                 if stack[k][0] == tag:
                     pop_to(k)
                     break
@@ -155,7 +164,7 @@ def parse(html: str) -> tuple[list[tuple[str, str, int, int]], list[tuple[str, b
                     break
         if tag in CLOSES:
             ends, walls = CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1 if any(map(open_now.get, ends.split())) else -1, -1, -1):
                 if stack[k][0] in walls:
                     break
                 if stack[k][0] in ends.split():
@@ -163,10 +172,14 @@ def parse(html: str) -> tuple[list[tuple[str, str, int, int]], list[tuple[str, b
                     break
         if tag in VOID or attributes.endswith("/"):
             continue
-        if len(stack) < 200:  # deeper nesting stays in its 200th ancestor
-            path = f"{path}/{step_of(tag, attributes)}"
-            stack.append((tag, path))
+        # deeper nesting stays in the path of its 200th ancestor, but for the first part marked there
+        step = step_of(tag, attributes)
+        own = len(stack) < 200 or (path.count("/") <= 200 and marked(step, True))
+        if own:
+            path = f"{path}/{step}"
             tokens.append((path, True))
+        stack.append((tag, path, own))
+        open_now[tag] = open_now.get(tag, 0) + 1
     flush()
     pop_to(0)
     return blocks, [*tokens, ("#", False)]
