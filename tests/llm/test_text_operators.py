@@ -374,6 +374,21 @@ def test_masked_lm_scores_by_its_formula(spark):
     assert masked_lm.pseudo_likelihood(empty(spark)).count() == 0
 
 
+def test_masked_lm_trains_on_every_position(spark):
+    docs = spark.createDataFrame([(1, " ".join(["a b c d"] * 2048)), (2, "z " * 255)], "doc_id long, text string").coalesce(1)
+    vocab = masked_lm.vocabulary(docs)
+    ids = written(masked_lm.class_ids(docs, vocab), "ids")
+    net = masked_lm.train(ids, rounds=1, share=1.0)
+    group, inner = divmod(int(vocab.of(*masked_lm.words_and_tails(WordStream(), "z"))[0]), masked_lm.GROUPS)
+    assert net.inner_bias[group, inner] > 0  # what is left over of a lot
+    words = " ".join(f"v{k}" for k in range(40))
+    once = spark.createDataFrame([(1, words)], "doc_id long, text string")
+    vocab = masked_lm.vocabulary(once)
+    net = masked_lm.train(written(masked_lm.class_ids(once, vocab), "ids"))
+    before = vocab.of(*masked_lm.words_and_tails(WordStream(), words))[:-1]  # each is the word before a position
+    assert (net.table[1][before] != masked_lm.Network().table[1][before]).any(axis=1).all()
+
+
 @pytest.mark.parametrize("name", ["op2_minhash", "op3_masked_lm", "op4_bm25", "op5_token_shards", "op8_packing", "op9_decontaminate", "op10_language_id"])
 def test_queries_run_on_small_tables(spark, name):
     from tripleframe.llm import queries

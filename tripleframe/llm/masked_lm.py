@@ -8,8 +8,8 @@ trained in numpy; the sum of the conditional log-probabilities scores a document
   their own; any other word falls in one of ``TAILS`` classes by its ending and is
   as likely as every other word type seen in that class (types are counted too).
 * Class ids are written once. Training makes ``rounds`` passes over all documents;
-  in each, every partition runs SGD over a keyed share of the positions of all its
-  documents, and the parameters are averaged by weight in two levels, so the driver
+  in each, every partition runs SGD over all positions of its documents (``share``
+  below 1 takes a keyed share of them), a lot of documents in mixed order, and the parameters are averaged by weight in two levels, so the driver
   gets about the square root of the number of partitions of them.
 * Scoring reads every position of every document.
 
@@ -35,8 +35,8 @@ TAILS = 64
 WORDS = CLASSES - TAILS
 SIDE = 2
 HIDDEN = 32
-ROUNDS = 2
-SHARE = 1 / 32
+ROUNDS = 1
+SHARE = 1.0
 PAD = CLASSES
 
 
@@ -160,27 +160,35 @@ class Network:
         return got
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One SGD step on a small batch, gradients clipped by element."""
-        n = len(target)
-        rows, (group, inner) = np.arange(n), np.divmod(target, GROUPS)
+        """One SGD step on a small batch."""
+        order = np.argsort(target, kind="stable")
+        n, context, (group, inner) = len(target), context[:, order], np.divmod(target[order], GROUPS)
+        rows, rate = np.arange(n), np.float32(rate / n)
         h = self.hidden(context)
         d_out = _softmax(h @ self.out + self.out_bias)
         d_out[rows, group] -= 1
-        w = self.inner[group]
-        d_in = _softmax(np.einsum("nh,nhk->nk", h, w) + self.inner_bias[group])
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        own = group[starts]
+        spans = list(zip(own.tolist(), starts.tolist(), [*starts[1:].tolist(), n], strict=True))
+        d_in = self.inner_bias[group]
+        for g, a, b in spans:
+            d_in[a:b] += h[a:b] @ self.inner[g]
+        d_in = _softmax(d_in)
         d_in[rows, inner] -= 1
-        d_h = (d_out @ self.out.T + np.einsum("nk,nhk->nh", d_in, w)) * (1 - h * h)
-        self.out -= rate / n * (h.T @ d_out)
-        self.out_bias -= rate / n * d_out.sum(axis=0)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in np.flatnonzero(np.diff(ends)):
-            mine = order[ends[g] : ends[g + 1]]
-            self.inner[g] -= rate / n * (h[mine].T @ d_in[mine])
-            self.inner_bias[g] -= rate / n * d_in[mine].sum(axis=0)
-        self.bias -= rate / n * d_h.sum(axis=0)
-        for k in range(2 * SIDE):
-            np.subtract.at(self.table[k], context[k], rate / n * d_h)
+        d_h = d_out @ self.out.T
+        for g, a, b in spans:
+            d_h[a:b] += d_in[a:b] @ self.inner[g].T
+            self.inner[g] -= rate * (h[a:b].T @ d_in[a:b])
+        d_h *= 1 - h * h
+        self.inner_bias[own] -= rate * np.add.reduceat(d_in, starts, axis=0)
+        self.out -= rate * (h.T @ d_out)
+        self.out_bias -= rate * d_out.sum(axis=0)
+        self.bias -= rate * d_h.sum(axis=0)
+        cell = (context + np.arange(2 * SIDE)[:, None] * self.table.shape[1]).ravel()
+        order = np.argsort(cell)
+        cell = cell[order]
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.table.reshape(-1, HIDDEN)[cell[first]] -= rate * np.add.reduceat(d_h[order % n], first, axis=0)
 
 
 def _log_sum(score: np.ndarray) -> np.ndarray:
@@ -221,26 +229,34 @@ def train(ids: DataFrame, rounds: int = ROUNDS, share: float = SHARE, rate: floa
             from pyspark import TaskContext
 
             own, part, seen = Network(start.copy()), TaskContext.get().partitionId(), 0
+            rng = np.random.default_rng([seed, turn, part])
             held_c, held_t, held = [], [], 0
 
-            def learn(context, target):
-                for lo in range(0, len(target) - len(target) % batch_size or len(target), batch_size):
-                    own.step(context[:, lo : lo + batch_size], target[lo : lo + batch_size], rate / (1 + turn))
+            def learn(last=False):
+                nonlocal held_c, held_t, held
+                context, target = np.concatenate(held_c, axis=1), np.concatenate(held_t)
+                mixed = rng.permutation(held)
+                for lo in range(0, held if last else held - held % batch_size, batch_size):
+                    now = mixed[lo : lo + batch_size]
+                    own.step(context[:, now], target[now], rate / (1 + turn) * (len(now) / min(batch_size, seen)))
+                left = mixed[held - held % batch_size :]  # goes with the next lot
+                held_c, held_t, held = [context[:, left]], [target[left]], len(left)
 
             for batch in batches_:
                 for (blobs,) in batches(batch, ["classes"]):
                     context, target = windows([np.frombuffer(b, "<u2") for b in blobs])
-                    key = mix64(np.arange(len(target), dtype=np.uint64) + np.uint64(seen * 31 + turn * 1_000_003 + part))
-                    pick = np.flatnonzero(key.astype(np.float64) < share * 2.0**64)
+                    if share < 1:
+                        key = mix64(np.arange(len(target), dtype=np.uint64) + np.uint64(seen * 31 + turn * 1_000_003 + part))
+                        pick = np.flatnonzero(key.astype(np.float64) < share * 2.0**64)
+                        context, target = context[:, pick], target[pick]
                     seen += len(target)
-                    held_c.append(context[:, pick])
-                    held_t.append(target[pick])
-                    held += len(pick)
+                    held_c.append(context)
+                    held_t.append(target)
+                    held += len(target)
                     if held >= 8192:
-                        learn(np.concatenate(held_c, axis=1), np.concatenate(held_t))
-                        held_c, held_t, held = [], [], 0
+                        learn()
             if held:
-                learn(np.concatenate(held_c, axis=1), np.concatenate(held_t))
+                learn(last=True)
             yield pa.RecordBatch.from_arrays([pa.array([part % fan], pa.int32()), pa.array([float(seen)], pa.float64()), pa.array([own.flat.tobytes()], pa.binary())], names=["lot", "weight", "blob"])
 
         def merge(table):
