@@ -389,6 +389,31 @@ def test_masked_lm_trains_on_every_position(spark):
     assert (net.table[1][before] != masked_lm.Network().table[1][before]).any(axis=1).all()
 
 
+def test_masked_lm_scores_every_word_by_its_count(spark):
+    common = " ".join(f"c{k} " * 10 for k in range(masked_lm.WORDS))
+    rows = [(1, common), (2, "manyxq " * 8), (3, "rarexq"), (4, "c1 manyxq c2"), (5, "c1 rarexq c2"), (5, "c1 rarexq c2"), (None, "c1 rarexq c2"), (6, "")]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {}
+    for r in masked_lm.pseudo_likelihood(docs).collect():
+        got.setdefault(r["doc_id"], []).append((r["log_likelihood"], r["mean"], r["n_words"]))
+    assert sorted(map(len, got.values())) == [1, 1, 1, 1, 1, 1, 2] and got[6] == [(0.0, 0.0, 0)]
+    assert math.isclose(got[4][0][0] - got[5][0][0], math.log(9 / 4), rel_tol=1e-4) and got[5] == got[None] * 2
+    assert math.isclose(got[4][0][1], got[4][0][0] / 3)
+    counts = written(masked_lm.word_counts(docs), "counts")
+    vocab = masked_lm.vocabulary(docs, counts)
+    assert math.isclose(sum(np.exp(vocab.spread[masked_lm.WORDS :]) > 1.5), 1) and math.isclose(max(vocab.spread), math.log(13))
+
+
+def test_masked_lm_classes_grow_with_the_words(spark):
+    assert [masked_lm.groups_for(n) for n in (0, 1 << 20, 1 << 24, 1 << 40)] == [32, 32, 64, 255]
+    vocab = masked_lm.Vocabulary(np.array([5], np.uint64), np.array([7]), np.zeros(64 * 64), 64)
+    assert vocab.of(np.array([5, 6], np.uint64), np.array([1, 3])).tolist() == [7, 64 * 64 - masked_lm.TAILS + 3]
+    ids = spark.createDataFrame([(0, 1, np.array([4000, 5, 4000, 5], "<u2").tobytes())], "row long, doc_id long, classes binary")
+    net = masked_lm.train(ids, groups=64)
+    untrained = masked_lm.score(ids, masked_lm.Network(groups=64), vocab.spread).first()["log_likelihood"]
+    assert masked_lm.score(ids, net, vocab.spread).first()["log_likelihood"] > untrained
+
+
 @pytest.mark.parametrize("name", ["op2_minhash", "op3_masked_lm", "op4_bm25", "op5_token_shards", "op8_packing", "op9_decontaminate", "op10_language_id"])
 def test_queries_run_on_small_tables(spark, name):
     from tripleframe.llm import queries

@@ -4,9 +4,11 @@ Every word is predicted from the ``SIDE`` words on either side of it by a small
 window network (position-wise input tables, tanh layer, two-level softmax)
 trained in numpy; the sum of the conditional log-probabilities scores a document.
 
-* Words are counted over all documents. The ``WORDS`` most frequent have a class of
-  their own; any other word falls in one of ``TAILS`` classes by its ending and is
-  as likely as every other word type seen in that class (types are counted too).
+* Words are counted over all documents. There are as many classes as the square root
+  of the number of word types, at least ``CLASSES`` and at most 65025. The most frequent
+  words have a class of their own; any other word falls in one of ``TAILS`` classes by
+  its ending, in which it is as likely as its share of that class's tokens: the counts
+  of all these words are joined to their places in the documents.
 * Class ids are written once. Training makes ``rounds`` passes over all documents;
   in each, every partition runs SGD over all positions of its documents (``share``
   below 1 takes a keyed share of them), a lot of documents in mixed order, and the parameters are averaged by weight in two levels, so the driver
@@ -89,55 +91,87 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     words: np.ndarray  # hashes of the words with a class of their own, sorted
     classes: np.ndarray  # their classes
-    spread: np.ndarray  # per class: log of the number of word types in it
+    spread: np.ndarray  # per class: log of the number of tokens that share it, 0 for a word's own
+    groups: int = GROUPS  # there are groups * groups classes, the last TAILS of them for endings
 
     def of(self, words: np.ndarray, tails: np.ndarray) -> np.ndarray:
         if not len(self.words):
-            return WORDS + tails
+            return self.groups**2 - TAILS + tails
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.classes[at], WORDS + tails)
+        return np.where(self.words[at] == words, self.classes[at], self.groups**2 - TAILS + tails)
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    counts = written(word_counts(docs), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+def groups_for(types: int) -> int:
+    """Class groups for a number of word types; class ids are 16 bits wide."""
+    return min(255, max(GROUPS, int(np.ceil(types**0.25))))
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
+    """counts: the table of ``word_counts``, where it is written already."""
+    counts = written(word_counts(docs), "word-counts") if counts is None else counts
+    types, tokens = 0, [0] * TAILS
+    for r in counts.groupBy("tail").agg(F.count("*").alias("types"), F.sum("n").alias("n")).collect():  # TAILS rows
+        types, tokens[r["tail"]] = types + r["types"], r["n"]
+    groups = groups_for(types)
+    top = counts.orderBy(F.desc("n"), "word").limit(groups**2 - TAILS).collect()
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
-    types = np.zeros(TAILS)
-    for r in counts.groupBy("tail").agg(F.count("*").alias("n")).collect():  # TAILS rows
-        types[r["tail"]] = r["n"]
     for r in top:
-        types[r["tail"]] -= 1
-    spread = np.concatenate([np.zeros(WORDS), np.log(np.maximum(types, 1.0))])
-    return Vocabulary(words[order], order, spread)
+        tokens[r["tail"]] -= r["n"]
+    spread = np.concatenate([np.zeros(groups**2 - TAILS), np.log(np.maximum(np.array(tokens, np.float64), 1.0))])
+    return Vocabulary(words[order], order, spread, groups)
 
 
 def class_ids(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """doc_id and the classes of all its words as little-endian uint16."""
+    """Number of the row, doc_id, the classes of all its words as little-endian uint16
+    and the hashes of those without a class of their own as little-endian uint64."""
 
     def run(parts):
-        stream = WordStream()
+        from pyspark import TaskContext
+
+        stream, row = WordStream(), TaskContext.get().partitionId() << 40
         for batch in parts:
             for ids, texts in batches(batch, ["doc_id", "text"]):
-                got = [vocab.of(*words_and_tails(stream, t)).astype("<u2").tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got, pa.binary())], names=["doc_id", "classes"])
+                got, rest = [], []
+                for text in texts:
+                    words, tails = words_and_tails(stream, text)
+                    classes = vocab.of(words, tails)
+                    got.append(classes.astype("<u2").tobytes())
+                    rest.append(words[classes >= vocab.groups**2 - TAILS].astype("<u8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(got, pa.binary()), pa.array(rest, pa.binary())], names=["row", "doc_id", "classes", "rest"])
+                row += len(ids)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, doc_id long, classes binary, rest binary")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, classes binary")
+
+def rest_scores(ids: DataFrame, counts: DataFrame) -> DataFrame:
+    """(row, log_n): sum of log n(word) over a row's words without a class of their own."""
+
+    def run(parts):
+        for batch in parts:
+            for rows, blobs in batches(batch, ["row", "rest"]):
+                each = [np.unique(np.frombuffer(b, "<i8"), return_counts=True) for b in blobs]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rows, np.int64), [len(w) for w, _ in each])), pa.array(np.concatenate([w for w, _ in each])), pa.array(np.concatenate([k for _, k in each]).astype(np.int64))], names=["row", "word", "k"])
+
+    # Whole numbers, so that the sum does not depend on the order of the rows.
+    log_n = F.round(F.log("n") * F.lit(2.0**32)).cast("long")
+    places = ids.select("row", "rest").mapInArrow(run, "row long, word long, k long")
+    return places.join(counts.select("word", log_n.alias("log_n")), "word").groupBy("row").agg((F.sum(F.col("k") * F.col("log_n")) / F.lit(2.0**32)).alias("log_n"))
 
 
 class Network:
     """Tables for the 2 * SIDE neighbours, a tanh layer, softmax over groups and within the group."""
 
-    SHAPES = [(2 * SIDE, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, GROUPS), (GROUPS,), (GROUPS, HIDDEN, GROUPS), (GROUPS, GROUPS)]
-
-    def __init__(self, flat: np.ndarray | None = None, seed: int = 5):
-        sizes = [int(np.prod(s)) for s in self.SHAPES]
+    def __init__(self, flat: np.ndarray | None = None, seed: int = 5, groups: int = GROUPS):
+        self.groups = groups
+        shapes = [(2 * SIDE, groups**2 + 1, HIDDEN), (HIDDEN,), (HIDDEN, groups), (groups,), (groups, HIDDEN, groups), (groups, groups)]
+        sizes = [int(np.prod(s)) for s in shapes]
         if flat is None:
             rng = np.random.default_rng(seed)
-            flat = np.concatenate([(rng.normal(0, 0.2, n) if len(s) > 1 else np.zeros(n)).astype(np.float32) for n, s in zip(sizes, self.SHAPES, strict=True)])
+            flat = np.concatenate([(rng.normal(0, 0.2, n) if len(s) > 1 else np.zeros(n)).astype(np.float32) for n, s in zip(sizes, shapes, strict=True)])
         self.flat = flat
         at = np.cumsum([0, *sizes])
-        self.table, self.bias, self.out, self.out_bias, self.inner, self.inner_bias = (flat[a:b].reshape(s) for a, b, s in zip(at[:-1], at[1:], self.SHAPES, strict=True))
+        self.table, self.bias, self.out, self.out_bias, self.inner, self.inner_bias = (flat[a:b].reshape(s) for a, b, s in zip(at[:-1], at[1:], shapes, strict=True))
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.table[0][context[0]]
@@ -147,12 +181,12 @@ class Network:
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(context)
-        group, inner = np.divmod(target, GROUPS)
+        group, inner = np.divmod(target, self.groups)
         score = h @ self.out + self.out_bias
         got = score[np.arange(len(target)), group] - _log_sum(score)
         order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
+        ends = np.searchsorted(group[order], np.arange(self.groups + 1))
+        for g in range(self.groups):
             mine = order[ends[g] : ends[g + 1]]
             if len(mine):
                 score = h[mine] @ self.inner[g] + self.inner_bias[g]
@@ -162,7 +196,7 @@ class Network:
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One SGD step on a small batch."""
         order = np.argsort(target, kind="stable")
-        n, context, (group, inner) = len(target), context[:, order], np.divmod(target[order], GROUPS)
+        n, context, (group, inner) = len(target), context[:, order], np.divmod(target[order], self.groups)
         rows, rate = np.arange(n), np.float32(rate / n)
         h = self.hidden(context)
         d_out = _softmax(h @ self.out + self.out_bias)
@@ -201,11 +235,11 @@ def _softmax(score: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def windows(docs: list[np.ndarray], pad: int = PAD) -> tuple[np.ndarray, np.ndarray]:
     """Contexts (2 * SIDE x positions) and targets of all positions of some documents."""
-    gap = np.full(SIDE, PAD, np.int64)
+    gap = np.full(SIDE, pad, np.int64)
     flow = np.concatenate([gap, *(x for d in docs for x in (d.astype(np.int64), gap))])
-    at = np.flatnonzero(flow != PAD)
+    at = np.flatnonzero(flow != pad)
     return np.stack([flow[at + k] for k in (*range(-SIDE, 0), *range(1, SIDE + 1))]), flow[at]
 
 
@@ -217,9 +251,9 @@ def averaged(blobs: list[bytes], weights: list[float]) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def train(ids: DataFrame, rounds: int = ROUNDS, share: float = SHARE, rate: float = 2.0, batch_size: int = 256, seed: int = 5) -> Network:
+def train(ids: DataFrame, rounds: int = ROUNDS, share: float = SHARE, rate: float = 2.0, batch_size: int = 256, seed: int = 5, groups: int = GROUPS) -> Network:
     """Parameter-averaged SGD; ids: doc_id, classes, as written to files."""
-    net = Network(seed=seed)
+    net = Network(seed=seed, groups=groups)
     parts = max(1, ids.rdd.getNumPartitions())
     fan = max(1, int(np.ceil(np.sqrt(parts))))
     for turn in range(rounds):
@@ -228,7 +262,7 @@ def train(ids: DataFrame, rounds: int = ROUNDS, share: float = SHARE, rate: floa
         def run(batches_, start=start, turn=turn):
             from pyspark import TaskContext
 
-            own, part, seen = Network(start.copy()), TaskContext.get().partitionId(), 0
+            own, part, seen = Network(start.copy(), groups=groups), TaskContext.get().partitionId(), 0
             rng = np.random.default_rng([seed, turn, part])
             held_c, held_t, held = [], [], 0
 
@@ -244,7 +278,7 @@ def train(ids: DataFrame, rounds: int = ROUNDS, share: float = SHARE, rate: floa
 
             for batch in batches_:
                 for (blobs,) in batches(batch, ["classes"]):
-                    context, target = windows([np.frombuffer(b, "<u2") for b in blobs])
+                    context, target = windows([np.frombuffer(b, "<u2") for b in blobs], groups**2)
                     if share < 1:
                         key = mix64(np.arange(len(target), dtype=np.uint64) + np.uint64(seen * 31 + turn * 1_000_003 + part))
                         pick = np.flatnonzero(key.astype(np.float64) < share * 2.0**64)
@@ -265,20 +299,21 @@ def train(ids: DataFrame, rounds: int = ROUNDS, share: float = SHARE, rate: floa
 
         got = ids.select("classes").mapInArrow(run, "lot int, weight double, blob binary").groupBy("lot").applyInArrow(merge, "weight double, blob binary").collect()  # at most ``fan`` rows
         if got:
-            net = Network(averaged([r["blob"] for r in got], [r["weight"] for r in got]))
+            net = Network(averaged([r["blob"] for r in got], [r["weight"] for r in got]), groups=groups)
     return net
 
 
 def score(ids: DataFrame, net: Network, spread: np.ndarray) -> DataFrame:
-    """Per document: doc_id, n_words, log_likelihood (natural log, summed), mean."""
-    flat = net.flat
+    """Per document: row, doc_id, n_words, log_likelihood (natural log, summed), mean;
+    words without a class of their own are as likely as 1 / tokens of their class."""
+    flat, groups = net.flat, net.groups
 
     def run(parts):
-        own = Network(flat)
+        own = Network(flat, groups=groups)
         for batch in parts:
-            for docs, blobs in batches(batch, ["doc_id", "classes"], 64):
+            for rows, docs, blobs in batches(batch, ["row", "doc_id", "classes"], 64):
                 arrays = [np.frombuffer(b, "<u2") for b in blobs]
-                context, target = windows(arrays)
+                context, target = windows(arrays, groups**2)
                 each = np.empty(len(target))
                 for lo in range(0, len(target), 16_384):
                     each[lo : lo + 16_384] = own.log_probability(context[:, lo : lo + 16_384], target[lo : lo + 16_384])
@@ -288,13 +323,16 @@ def score(ids: DataFrame, net: Network, spread: np.ndarray) -> DataFrame:
                 full = np.flatnonzero(n)
                 if len(full):
                     sums[full] = np.add.reduceat(each, (np.cumsum(n) - n)[full])
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(n), pa.array(sums), pa.array(sums / np.maximum(n, 1))], names=["doc_id", "n_words", "log_likelihood", "mean"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), pa.array(n), pa.array(sums), pa.array(sums / np.maximum(n, 1))], names=["row", "doc_id", "n_words", "log_likelihood", "mean"])
 
-    return ids.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean double")
+    return ids.select("row", "doc_id", "classes").mapInArrow(run, "row long, doc_id long, n_words long, log_likelihood double, mean double")
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
     """Vocabulary, training and scoring over all of ``docs``."""
-    vocab = vocabulary(docs)
+    counts = written(word_counts(docs), "word-counts")
+    vocab = vocabulary(docs, counts)
     ids = written(class_ids(docs, vocab), "classes")
-    return score(ids, train(ids, rounds, share), vocab.spread)
+    scores = score(ids, train(ids, rounds, share, groups=vocab.groups), vocab.spread).join(rest_scores(ids, counts), "row", "left")
+    whole = F.col("log_likelihood") + F.coalesce("log_n", F.lit(0.0))
+    return scores.select("doc_id", "n_words", whole.alias("log_likelihood"), (whole / F.greatest("n_words", F.lit(1))).alias("mean"))
