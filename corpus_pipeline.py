@@ -14,8 +14,11 @@ from tripleframe.llm.common import written
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the stage's own documents that are not held out; rejects texts
-    without a language (null, or no letter)."""
-    return docs.where(langid.predict(docs["text"], langid.train(docs))["lang_pred"] != langid.UND)
+    without a letter (or null). Where no language could be learnt, the others stay."""
+    model = langid.train(docs)
+    if not model.langs:
+        return docs.where(langid.has_letter(docs["text"]))
+    return docs.where(langid.predict(docs["text"], model)["lang_pred"] != langid.UND)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

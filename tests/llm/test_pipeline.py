@@ -1,5 +1,7 @@
 """The corpus pipeline against brute force, stage by stage."""
 
+import zlib
+
 import corpus_pipeline
 from tests_helpers import brute_near_kept, plain_words
 
@@ -45,3 +47,16 @@ def test_odd_rows_pass_the_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
     assert langid.UND == "und"
+
+
+def test_texts_stay_where_no_language_can_be_learnt(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = ["the plain words of a text", "mots d'un texte", "77 !!", "", None, "\u4e2d\u6587", "\u0301 5", "7a", "Stra\u00dfe"]
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 4 == 2][:3]
+    for rows in ([(k, t, None) for k, t in enumerate(texts)], [(k, t, "en") for k, t in zip(held, texts)]):
+        docs = spark.createDataFrame([(*r, "s", 1) for r in rows], schema)
+        want = sorted(k for k, t, _ in rows if t and any(c.isalpha() for c in t))
+        assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == want
+        learnt = spark.createDataFrame([(900, "some english words", "en", "s", 1), (901, "more english words", "en", "s", 1)], schema)
+        kept = corpus_pipeline.language_id(spark, docs.union(learnt), SF).where("doc_id < 900").collect()
+        assert sorted(r["doc_id"] for r in kept) == want

@@ -256,6 +256,16 @@ def predict(text: Column, model: Model, penalty: float = SWITCH) -> Column:
     return run(text.cast("string"))
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a word that ``predict`` would judge, whatever the model."""
+
+    @F.pandas_udf("boolean")
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([any(any(map(str.isalpha, w)) for w in WORD.findall(text)) if text else False for text in column], dtype=bool)
+
+    return run(text.cast("string"))
+
+
 def language_spans(docs: DataFrame, model: Model, penalty: float = SWITCH) -> DataFrame:
     """Per span of one language: doc_id, start and end in code points, lang."""
     langs = model.langs
