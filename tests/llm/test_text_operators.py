@@ -343,6 +343,15 @@ def test_search_matches_brute_force(spark):
     assert bm25.search(empty(spark), spark.createDataFrame(queries, "query_id long, text string")).count() == 0
 
 
+def test_search_counts_very_frequent_words(spark):
+    docs = [(1, "w " * 200_000), (2, "w x y z"), *((k, "x y z") for k in range(3, 200))]
+    got = {r["doc_id"]: r["score"] for r in bm25.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "w")], "query_id long, text string")).collect()}
+    mean = sum(len(t.split()) for _, t in docs) / len(docs)
+    idf = math.log(1 + (len(docs) - 2 + 0.5) / (2 + 0.5))
+    for doc, tf, size in ((1, 200_000, 200_000), (2, 1, 4)):
+        assert math.isclose(got[doc], idf * tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * size / mean)), rel_tol=1e-9)
+
+
 # --- language model
 
 
