@@ -179,7 +179,8 @@ def _hash(build):
 
 def jaro(s: str, t: str) -> float:
     """A variant of Jaro's similarity: 1 for equal texts, 0 for an empty one, and
-    (len(t) / len(s) + 2) / 3 for a shorter text inside the other."""
+    (len(t) / len(s) + 2) / 3 for a shorter text inside the other. Characters match within
+    half the shorter text's length less one; two transposed characters count as one swap."""
     if s == t:
         return 1.0
     if not s or not t:
@@ -188,7 +189,7 @@ def jaro(s: str, t: str) -> float:
         s, t = t, s
     if t in s:
         return (len(t) / len(s) + 2) / 3
-    reach, used, matched = max(0, len(s) // 2 - 1), set(), []
+    reach, used, matched = len(t) // 2 - 1, set(), []
     for i, ch in enumerate(s):
         j = next((j for j in range(max(0, i - reach), min(len(t), i + reach + 1)) if j not in used and t[j] == ch), None)
         if j is not None:
@@ -198,7 +199,7 @@ def jaro(s: str, t: str) -> float:
     if not m:
         return 0.0
     other = [t[j] for j in sorted(used)]
-    swaps = sum(s[i] != ch for (i, _), ch in zip(matched, other, strict=True)) / 2
+    swaps = sum(s[i] != ch for (i, _), ch in zip(matched, other, strict=True)) // 2
     return (m / len(s) + m / len(t) + (m - swaps) / m) / 3
 
 

@@ -44,7 +44,7 @@ class Val:
     i: Column | None = None  # num
     d: Column | None = None  # num
     prefix: str = ""  # key
-    whole: bool = False  # num: statically an integer
+    whole: bool | str = False  # num: statically an integer; "wide" if an overflow may have left ``d`` alone
     fixed: tuple | None = None  # the term, if constant
 
 
@@ -101,7 +101,7 @@ def to_nt(v: Val) -> Column:
         return F.concat(F.lit("<" + v.prefix), v.col.cast("string"), F.lit(">"))
     if v.shape == "num":
         whole = F.concat(F.lit('"'), v.i.cast("string"), F.lit(f'"^^<{INTEGER}>'))
-        return whole if v.whole else F.coalesce(whole, F.concat(F.lit('"'), format_double(v.d), F.lit(f'"^^<{DOUBLE}>')))
+        return whole if v.whole is True else F.coalesce(whole, F.concat(F.lit('"'), format_double(v.d), F.lit(f'"^^<{DOUBLE}>')))
     if v.shape == "bool":
         return F.concat(F.lit('"'), v.col.cast("string"), F.lit(f'"^^<{BOOLEAN}>'))
     if v.shape == "time":
@@ -112,7 +112,7 @@ def to_nt(v: Val) -> Column:
 def present(v: Val) -> Column:
     """Whether the value is bound."""
     if v.shape == "num":
-        return v.d.isNotNull() if not v.whole else v.i.isNotNull() | v.d.isNotNull()
+        return v.d.isNotNull() if v.whole is not True else v.i.isNotNull() | v.d.isNotNull()
     return v.col.isNotNull()
 
 
@@ -156,7 +156,7 @@ def int_of(v: Val) -> Column:
 def num_of(v: Val) -> Column:
     """DOUBLE of a number, else null."""
     if v.shape == "num":
-        return F.coalesce(v.d, v.i.cast("double")) if not v.whole else v.i.cast("double")
+        return F.coalesce(v.d, v.i.cast("double")) if v.whole is not True else v.i.cast("double")
     if v.shape != "nt":
         return NULL.cast("double")
     dt = _datatype(v.col)
@@ -215,7 +215,7 @@ def lexical(v: Val) -> Column:
     if v.shape in ("iri", "key"):
         return iri_of(v)
     if v.shape == "num":
-        return v.i.cast("string") if v.whole else F.coalesce(v.i.cast("string"), format_double(v.d))
+        return v.i.cast("string") if v.whole is True else F.coalesce(v.i.cast("string"), format_double(v.d))
     if v.shape == "bool":
         return v.col.cast("string")
     if v.shape == "time":
@@ -289,7 +289,7 @@ def same_term(a: Val, b: Val) -> Column:
         return key_equals(a, b.fixed[1])
     if b.shape == "key" and a.fixed is not None and a.shape == "iri":
         return key_equals(b, a.fixed[1])
-    if a.shape == b.shape == "num" and a.whole and b.whole:
+    if a.shape == b.shape == "num" and a.whole is True and b.whole is True:
         return a.i == b.i
     return to_nt(a) == to_nt(b)
 
@@ -331,7 +331,7 @@ def _cases(a: Val, b: Val, cases: list) -> Column:
 
 def _number_test(a: Val, b: Val, test) -> Column:
     exact = test(int_of(a), int_of(b))
-    if a.shape == b.shape == "num" and a.whole and b.whole:
+    if a.shape == b.shape == "num" and a.whole is True and b.whole is True:
         return exact
     near = test(num_of(a), num_of(b))
     if (a.shape == "num" and not a.whole and a.fixed) or (b.shape == "num" and not b.whole and b.fixed):
@@ -374,7 +374,7 @@ def ebv(v: Val) -> Column:
     if v.shape == "bool":
         return v.col
     if v.shape == "num":
-        return (v.i != 0) if v.whole else F.coalesce(v.i != 0, (v.d != 0) & ~F.isnan(v.d))
+        return (v.i != 0) if v.whole is True else F.coalesce(v.i != 0, (v.d != 0) & ~F.isnan(v.d))
     if v.shape == "str":
         return v.col != ""
     if v.shape == "nt":
@@ -382,7 +382,7 @@ def ebv(v: Val) -> Column:
     return NULL.cast("boolean")
 
 
-def number(i: Column, d: Column, whole: bool = False) -> Val:
+def number(i: Column, d: Column, whole: bool | str = False) -> Val:
     return Val("num", i=i, d=d, whole=whole)
 
 
@@ -392,11 +392,11 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
     if op == "/":
         return number(NULL.cast("long"), F.try_divide(x, y))
     exact = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](int_of(a), int_of(b))
-    return number(exact, {"+": x + y, "-": x - y, "*": x * y}[op], a.whole and b.whole)
+    return number(exact, {"+": x + y, "-": x - y, "*": x * y}[op], "wide" if a.whole and b.whole else False)
 
 
 def negate(v: Val) -> Val:
-    return number(F.try_subtract(F.lit(0).cast("long"), int_of(v)), -num_of(v), v.whole)
+    return number(F.try_subtract(F.lit(0).cast("long"), int_of(v)), -num_of(v), "wide" if v.whole else False)
 
 
 def order_struct(v: Val) -> Column:
@@ -404,7 +404,7 @@ def order_struct(v: Val) -> Column:
     if v.shape in ("str", "key", "iri", "bool", "time"):
         return v.col
     if v.shape == "num":
-        return v.i if v.whole else num_of(v)
+        return v.i if v.whole is True else num_of(v)
     c = v.col
 
     def key(group, n=None, i=None, t=None):
@@ -427,7 +427,7 @@ def common(vals: list[Val]) -> str | tuple:
     if len(shapes) == 1:
         return next(iter(shapes))
     if {s for s, _ in shapes} == {"num"}:
-        return ("num", False)
+        return ("num", False if ("num", False) in shapes else "wide")
     if {s for s, _ in shapes} <= {"iri", "key"}:
         return ("iri", "")
     return ("nt", "")
@@ -438,4 +438,4 @@ def reshape(v: Val, shape: tuple) -> Val:
         return lift(v)
     if shape[0] == "iri":
         return Val("iri", iri_of(v))
-    return number(v.i, num_of(v)) if shape == ("num", False) else v
+    return number(v.i, num_of(v), shape[1]) if shape[0] == "num" else v

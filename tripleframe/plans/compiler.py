@@ -277,7 +277,7 @@ class Compiler:
         want = {}
         for v in shared:
             shape = V.common([left.val(v), right.val(v)])
-            want[v] = ("nt", "") if shape[0] == "num" and not shape[1] else shape
+            want[v] = ("nt", "") if shape[0] == "num" and shape[1] is not True else shape
 
         def fit(rel):
             if all(rel.shapes[v] == want[v] for v in shared):
@@ -689,13 +689,13 @@ def aggregate(e: tuple, ev, rel: Rel, name: str) -> tuple[list[Column], Val]:
         n = F.count_distinct(every) if distinct else F.count(F.lit(1))
         return [n.alias(name)], V.number(F.col(name), F.col(name).cast("double"), True)
     v = ev(arg)
-    one = V.to_nt(v) if v.shape in ("nt", "num") and not v.whole else v.i if v.shape == "num" else v.col
+    one = V.to_nt(v) if v.shape in ("nt", "num") and v.whole is not True else v.i if v.shape == "num" else v.col
     if kind == "COUNT":
         n = F.count_distinct(one) if distinct else F.count(one)
         return [n.alias(name)], V.number(F.col(name), F.col(name).cast("double"), True)
     i, d = V.int_of(v), V.num_of(v)
     if kind in ("SUM", "AVG"):
-        if distinct and not v.whole:
+        if distinct and v.whole is not True:
             pick = F.collect_set(F.struct(one.alias("t"), i.alias("i"), d.alias("d")))
             got = F.filter(pick, lambda x: x["t"].isNotNull())
             total_d = F.aggregate(got, F.lit(0.0), lambda a, x: a + F.coalesce(x["d"], F.lit(0.0)))
@@ -709,7 +709,7 @@ def aggregate(e: tuple, ev, rel: Rel, name: str) -> tuple[list[Column], Val]:
         si, sd, n, floats = (F.col(f"{name}{x}") for x in "idnf")
         if kind == "SUM":
             whole = F.when(floats == 0, F.when(sd.isNull(), F.lit(0).cast("long")).otherwise(si))
-            return columns, V.number(whole, F.coalesce(sd, F.lit(0.0)), v.whole)
+            return columns, V.number(whole, F.coalesce(sd, F.lit(0.0)), "wide" if v.whole else False)
         return columns, V.number(F.when(n == 0, F.lit(0).cast("long")), F.when(n == 0, 0.0).otherwise(F.coalesce(sd, F.lit(0.0)) / n))
     if kind in ("MIN", "MAX"):
         f = F.min if kind == "MIN" else F.max
