@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests in local mode), one
-    temporary folder is set for the session."""
+    """``spark.checkpoint.dir``; where it is unset (tests in local mode), one temporary
+    folder is set for the session. A cluster without the setting is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         kept = getattr(spark.sparkContext, "_tripleframe_dir", None)
         if kept is None:
             kept = tempfile.mkdtemp(prefix="tripleframe-")
@@ -33,4 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of tables from ``written`` that nothing will read again."""
+    for df in frames:
+        if path := df.__dict__.pop("_folder", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
