@@ -7,9 +7,10 @@ and, but for the last, returns them with the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tripleframe.llm import decontaminate, langid, near_dups, packing
-from tripleframe.llm.common import written
+from tripleframe.llm.common import anti_join, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of every group of near duplicates (five words, 0.8) the smallest doc_id.
     Rows that repeat a doc_id share its fate; rows without doc_id stay."""
-    gone = near_dups.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = near_dups.near_duplicates(docs).where("not kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
+    return anti_join(docs, written(gone, "gone"), ["doc_id"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,6 +104,18 @@ def test_near_duplicates_odd_inputs(spark):
     assert near_dups.near_duplicates(empty(spark)).count() == 0
 
 
+def test_filtered_joins_equal_plain_joins(spark, monkeypatch):
+    from tripleframe.llm import common
+
+    df = spark.createDataFrame([(k if k % 7 else None, f"t{k}") for k in range(2000)], "doc_id long, text string")
+    keys = spark.createDataFrame([(k,) for k in range(0, 4000, 3)], "doc_id long")
+    for most in (1 << 25, 1 << 6):  # a filter that is far too small says yes to all
+        monkeypatch.setattr(common.KeyFilter, "MOST", most)
+        for ours, kind in ((common.anti_join, "left_anti"), (common.semi_join, "left_semi")):
+            for k in (keys, keys.limit(0)):
+                assert sorted(ours(df, k, ["doc_id"]).collect(), key=repr) == sorted(df.join(k, "doc_id", kind).collect(), key=repr)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 450)], "a long, b long")
     got = {r["node"]: r["component"] for r in near_dups.components(edges).collect()}

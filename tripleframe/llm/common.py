@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from ..storage import fresh_path, shared_dir, written
+from ..storage import discard, fresh_path, shared_dir, written
 
-__all__ = ["WordHashes", "WordStream", "ascii_words", "batches", "fresh_path", "mix64", "shared_dir", "shingle_hashes", "shingle_stream", "shingles_of", "written"]
+__all__ = ["KeyFilter", "WordHashes", "WordStream", "anti_join", "ascii_words", "batches", "discard", "fresh_path", "mix64", "semi_join", "shared_dir", "shingle_hashes", "shingle_stream", "shingles_of", "written"]
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -21,6 +23,57 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class KeyFilter:
+    """A Bloom filter of the keys (columns ``on``) of a table, as a column test for other tables.
+
+    It says no only for keys that the table doesn't hold, so a join may leave those rows
+    where they are. It takes about 16 bits a key and 4 MB at most: with many more keys than
+    two million it says yes more often, and the join after it does more of the work.
+    """
+
+    MOST = 1 << 25
+    TESTS = 3
+
+    def __init__(self, keys: DataFrame, on: list[str]):
+        self.on = on
+        bits = min(self.MOST, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
+        place = keys.select(F.explode(F.array(*self._places(bits))).alias("place"))
+        word, bit = F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))")
+        got = place.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()  # bits / 64 rows at most
+        self.bits, self.table = bits, np.zeros(bits >> 6, np.uint64)
+        self.table[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+
+    def _places(self, bits: int) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(k), *self.on), F.lit(bits)) for k in range(self.TESTS)]
+
+    def maybe(self) -> Column:
+        """Whether a row with columns ``on`` may have one of the keys."""
+        table = self.table
+
+        @F.arrow_udf("boolean")
+        def held(a, b, c):
+            import pyarrow as pa
+
+            out = np.ones(len(a), bool)
+            for x in (a, b, c):
+                at = x.to_numpy(zero_copy_only=False)
+                out &= ((table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+            return pa.array(out)
+
+        return held(*self._places(self.bits))
+
+
+def anti_join(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` without a partner in ``keys``; rows that surely have none aren't shuffled."""
+    maybe = KeyFilter(keys, on).maybe()
+    return df.where(~maybe).unionAll(df.where(maybe).join(keys, on, "left_anti").select(df.columns))
+
+
+def semi_join(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` with a partner in ``keys``; rows that surely have none aren't shuffled."""
+    return df.where(KeyFilter(keys, on).maybe()).join(keys, on, "left_semi").select(df.columns)
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, kept for reuse; emptied when it gets large."""
 

@@ -5,7 +5,9 @@ Every document becomes the set of its distinct word shingles. Two documents are
 linked if ``100 * |A & B| >= percent * |A | B|``; a group is a connected component.
 
 * Documents with equal sets are one class, found by a 128-bit fingerprint and an
-  ordinary aggregate; only the class representative (smallest doc_id) goes on.
+  ordinary aggregate; only the class representative (smallest doc_id) goes on. Its
+  signature stays in the features; texts are read anew, in place, for the few
+  documents whose full sets are needed. Neither is shuffled as a whole.
 * ``BANDS * ROWS`` minima of functions a*x+b mod 2**64; equal bands put
   representatives in one bucket. At Jaccard 0.8 a pair misses all 40 bands of 6
   with probability 5e-6.
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, ascii_words, batches, mix64, shingle_hashes, written
+from .common import KeyFilter, WordHashes, anti_join, ascii_words, batches, discard, mix64, semi_join, shingle_hashes, written
 
 BANDS, ROWS = 40, 6
 #: About so many bytes of members are compared with so many others in one task.
@@ -40,7 +42,7 @@ BLOCK = 3_000_000
 TRIES = 3
 #: Signatures must agree in this much less than the wanted share: four standard deviations.
 SLACK = 0.11
-FEATURES = "doc_id long, n_shingles long, fp binary, bands array<long>, sig binary, keys binary"
+FEATURES = "doc_id long, n_shingles long, fp binary, bands array<long>, sig binary"
 
 
 def hash_family(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +63,7 @@ def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: size of its set, fingerprint of the set, band keys, 8-bit signature and 32-bit band keys."""
+    """Per document: size of its set, fingerprint of the set, 64-bit band keys and 8-bit signature."""
 
     def run(parts):
         import xxhash
@@ -69,7 +71,7 @@ def features(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -
         cache, (a, b) = WordHashes(), hash_family(bands * rows)
         for batch in parts:
             for ids, texts in batches(batch, ["doc_id", "text"]):
-                out = ([], [], [], [], [], [])
+                out = ([], [], [], [], [])
                 for doc, text in zip(ids, texts, strict=True):
                     hashes = shingle_hashes(ascii_words(text), size, cache)
                     out[0].append(doc)
@@ -83,25 +85,27 @@ def features(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -
                         out[2].append(xxhash.xxh3_128_digest(hashes.tobytes()))
                         out[3].append(keys.view(np.int64))
                         out[4].append((mix64(low) >> np.uint64(56)).astype(np.uint8).tobytes())
-                        out[5].append(keys.astype("<u4").tobytes())
                     else:
                         for c in out[2:]:
                             c.append(None)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "n_shingles", "fp", "bands", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["doc_id", "n_shingles", "fp", "bands", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FEATURES)
 
 
 def set_table(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and its sorted shingle hashes as bytes."""
+    """doc_id, fingerprint and the sorted shingle hashes as bytes."""
 
     def run(parts):
+        import xxhash
+
         cache = WordHashes()
         for batch in parts:
-            for ids, texts in batches(batch, ["doc_id", "text"]):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shingle_hashes(ascii_words(t), size, cache).tobytes() for t in texts], pa.binary())], names=["doc_id", "hashes"])
+            for ids, texts in batches(batch, ["doc_id", "text"], 64):
+                sets = [shingle_hashes(ascii_words(t), size, cache).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "fp", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes binary")
+    return docs.mapInArrow(run, "doc_id long, fp binary, hashes binary")
 
 
 def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -154,7 +158,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").repartition("hi")
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(down.select("m", "hi")).where("lo < hi").distinct()
-        now = written(small.select("lo", "hi"), "edges")
+        last, now = now, written(small.select("lo", "hi"), "edges")
+        discard(last)
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("s")).first()
         if state == (row["n"], row["s"]):
             break
@@ -162,15 +167,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
 
 
-def block_links(placed: DataFrame, facts: DataFrame, floor: float, percent: int) -> DataFrame:
+def block_links(placed: DataFrame, facts: DataFrame, sets: DataFrame, floor: float, percent: int) -> DataFrame:
     """Links between members of one bucket in different components.
 
-    placed: bucket, band, doc_id, component; facts: doc_id, sig, keys, hashes. A
-    component of more than BLOCK bytes has blocks of its own, smaller ones share
-    blocks; a task gets two blocks, and pairs of blocks of one large component are
-    left out.
+    placed: bucket, band, doc_id, component; facts: doc_id, fp, size, bands, sig; sets:
+    doc_id, fp, hashes. A component of more than BLOCK bytes has blocks of its own,
+    smaller ones share blocks; a task gets two blocks, and pairs of blocks of one large
+    component are left out.
     """
-    weight = facts.groupBy("doc_id").agg(F.sum(F.length("hashes") + 2000).alias("weight"))
+    weight = facts.groupBy("doc_id").agg(F.sum(8 * F.col("size") + 2000).alias("weight"))
     slim = placed.join(weight, "doc_id").select("bucket", "band", "doc_id", "component", "weight")
     sizes = slim.groupBy("bucket", "component").agg(F.sum("weight").alias("n"))
     split = F.when(F.col("n") > BLOCK, F.concat_ws(":", F.col("component"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK))))
@@ -200,7 +205,7 @@ def block_links(placed: DataFrame, facts: DataFrame, floor: float, percent: int)
     def columns(table):
         comp, side, band, sizes = (table.column(c).to_numpy() for c in ("component", "side", "band", "size"))
         sigs = np.stack([np.frombuffer(x, np.uint8) for x in table.column("sig").to_pylist()])
-        keys = np.stack([np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()])
+        keys = np.stack([np.asarray(x) for x in table.column("bands").to_numpy()])
         return sigs, keys, sizes, comp, side, band
 
     def select(table):
@@ -232,54 +237,60 @@ def block_links(placed: DataFrame, facts: DataFrame, floor: float, percent: int)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     # Signatures go to all tasks first; full sets only to those of documents that pass there.
-    small = facts.select("doc_id", "sig", "keys", (F.length("hashes") / 8).cast("long").alias("size"))
     task = ["bucket", "block", "block2"]
-    light = dealt.join(small, "doc_id").select(*task, "band", "side", "doc_id", "component", "sig", "keys", "size")
+    light = dealt.join(facts, "doc_id").select(*task, "band", "side", "doc_id", "component", "fp", "size", "bands", "sig")
     chosen = written(light.groupBy(*task).applyInArrow(select, light.schema), "promising")
-    sets = facts.select("doc_id", (F.length("hashes") / 8).cast("long").alias("size"), "hashes", "sig")
-    return chosen.join(sets, ["doc_id", "size", "sig"]).groupBy(*task).applyInArrow(compare, "a long, b long").distinct()
+    links = written(chosen.join(sets, ["doc_id", "fp"]).groupBy(*task).applyInArrow(compare, "a long, b long").distinct(), "links")
+    discard(chosen)
+    return links
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id of its group), kept."""
     found = written(features(docs, shingle, bands, rows), "features")
     floor = max(0.0, percent / 100 - SLACK)
-    classes = found.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    member = written(found.where("fp is not null and doc_id is not null").select("doc_id", "fp").join(classes, "fp").select("doc_id", "rep"), "classes")
-    sides = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))  # a repeated doc_id may have two texts
-    twice = member.join(sides.where("a < b"), "doc_id").select("a", F.col("rep").alias("b")).where("a < b")
+    real = found.where("fp is not null and doc_id is not null")
+    classes = written(real.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")  # written, so that a skewed join below can be split
+    member = written(real.select("doc_id", "fp").join(classes, "fp").select("doc_id", "fp", "rep"), "classes")
+    sides = written(member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("n")).where("n > 1"), "repeated")  # a repeated doc_id may have two texts
+    twice = member.join(sides.where("a < b").drop("n"), "doc_id").select("a", F.col("rep").alias("b")).where("a < b")
     # A row that repeats a doc_id and text may stay twice here; pairs and links are distinct later.
-    reps = written(found.join(classes, "fp").where("doc_id = rep").select("doc_id", "bands", "sig", "keys"), "representatives")
+    reps = anti_join(real, member.where("doc_id <> rep").select("doc_id", "fp"), ["doc_id", "fp"])
 
-    rows_of = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")  # dealt once, for the aggregate and the join
+    # Dealt once, for the aggregate and the join: both read the same three columns (a bucket has one band).
+    rows_of = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")
     some_of = F.min(F.struct(F.xxhash64("doc_id", "bucket"), F.col("doc_id").alias("id")))["id"]
-    crowded = rows_of.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail"), some_of.alias("other")).where("head < tail").select("bucket", "head", "other")
-    buckets = written(rows_of.join(crowded, "bucket"), "buckets")
+    crowded = rows_of.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("tail"), some_of.alias("other"), F.min("band").alias("least")).where("head < tail").drop("tail")
+    buckets = written(rows_of.join(crowded, "bucket").where("band >= least").drop("least"), "buckets")
     some = written(buckets.select("doc_id").distinct(), "members")
-    sigs = written(reps.join(some, "doc_id", "left_semi").select("doc_id", "sig", "keys"), "signatures")
+    facts = written(semi_join(reps, some, ["doc_id"]).select("doc_id", "fp", F.col("n_shingles").alias("size"), "bands", "sig"), "signatures")
 
     heads = buckets.select(F.col("doc_id").alias("b"), F.explode(F.array("head", "other")).alias("a")).where("a <> b")
     heads = heads.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")  # round 2 sees the pairs of one band
-    first = agreement(heads, sigs).where(F.col("alike") >= floor)
+    first = agreement(heads, facts).where(F.col("alike") >= floor)
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("alike"), "a"))
     best = written(first.withColumn("rank", rank).where(F.col("rank") <= TRIES).select("a", "b"), "pairs")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    again = KeyFilter(sides, ["doc_id"]).maybe()
 
     def sets_of(ids):
-        """Sets of representatives; where a doc_id has several texts, each."""
-        return set_table(texts.join(ids, "doc_id", "left_semi"), shingle).dropDuplicates()
+        """Sets of (at least) some documents, each once; where a doc_id has several texts, each."""
+        got = written(set_table(texts.where(KeyFilter(ids, ["doc_id"]).maybe()), shingle), "sets")
+        return got.where(~again).unionAll(got.where(again).dropDuplicates())
 
     alike = written(best.select(F.col("a").alias("doc_id")).union(best.select("b")).distinct(), "alike")
-    sets = written(sets_of(alike), "sets")
+    sets = sets_of(alike)
     links = written(confirmed(best, sets, percent).union(twice), "links")
     groups = written(components(links), "groups")
+    discard(best, links)
 
     placed = buckets.join(groups, F.col("doc_id") == F.col("node"), "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     placed = written(placed.join(mixed, "bucket"), "mixed")
-    more = placed.select("doc_id").distinct().join(alike, "doc_id", "left_anti")
-    sets = sets.union(written(sets_of(more), "sets"))
-    extra = written(block_links(placed, written(sigs.join(sets, "doc_id"), "facts"), floor, percent), "links")
+    more = written(placed.select("doc_id").distinct().join(alike, "doc_id", "left_anti"), "alike")
+    sets = sets.unionAll(sets_of(more).join(more, "doc_id", "left_semi"))
+    extra = block_links(placed, facts, sets, floor, percent)
+    discard(placed, buckets, facts, some, alike, more)
     if not extra.isEmpty():  # components of components: the second graph has the new links only
         of = lambda side, name: groups.select(F.col("node").alias(side), F.col("component").alias(name))
         joined = extra.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
