@@ -5,7 +5,8 @@ the corpus is reduced to a histogram of piece lengths (at most 2048 numbers,
 whatever the input), the driver solves that exactly as a bin-packing instance,
 and the plan goes back as runs "pieces number a..b of length l take place o of
 sequences s, s+1, ...". Pieces are numbered within their length by a window
-over (length, salt), so that one common length does not meet in one task.
+over (length, salt), with more salts the more pieces there are, so that one common
+length does not meet in one task.
 
 Nulls: a null text is an empty one (its only id is the end mark); a null doc_id
 stays null. Repeated rows are packed each. An empty table gives no rows. Extra
@@ -25,7 +26,8 @@ from .tokens import make_encoder, tokenizer_files
 
 CAPACITY = 2048
 END = 0
-SALTS = 64
+#: Pieces are dealt to so many salts at least and at most, else to one for this many pieces.
+SALTS, MOST_SALTS, SALT_PIECES = 64, 4096, 200_000
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -56,17 +58,31 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def reachable(lengths: list[int], top: int) -> int:
-    """Bit s is set if copies of the lengths can add up to s."""
-    bits, mask = 1, (1 << (top + 1)) - 1
-    for x in lengths:
-        step = x
-        while step <= top:
-            bits |= (bits << step) & mask
-            step *= 2
+def with_length(bits: int, x: int, top: int) -> int:
+    """Bit s of ``bits`` tells whether some pieces add up to s; adds pieces of length x, any number of them."""
+    mask, step = (1 << (top + 1)) - 1, x
+    while step <= top:
+        bits |= (bits << step) & mask
+        step *= 2
     return bits
 
 
+class Sums:
+    """Which sums up to ``top`` copies of some lengths can make; kept for the last set of lengths."""
+
+    def __init__(self, top: int):
+        self.top, self.known, self.bits = top, frozenset(), 1
+
+    def of(self, lengths: list[int]) -> int:
+        now = frozenset(lengths)
+        if not self.known <= now:
+            self.known, self.bits = frozenset(), 1
+        for x in now - self.known:
+            self.bits = with_length(self.bits, x, self.top)
+        self.known = now
+        return self.bits
+
+
 def reduce_dominated(count: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Fixes sets that dominate every other set with the same largest item.
 
@@ -77,7 +93,7 @@ def reduce_dominated(count: np.ndarray, capacity: int) -> list[tuple[list[tuple[
     with a pattern as [(length, copies)].
     """
     fixed: list[tuple[list[tuple[int, int]], int]] = []
-    sums, known = 0, -1
+    sums = Sums(capacity)
     for a in range(capacity, 0, -1):
         while count[a]:
             gap = capacity - a
@@ -90,9 +106,7 @@ def reduce_dominated(count: np.ndarray, capacity: int) -> list[tuple[list[tuple[
                 break
             b = int(below[-1])
             if b < gap:
-                if known != len(below):
-                    sums, known = reachable(below.tolist(), capacity), len(below)
-                if (sums >> (b + 1)) & ((1 << (gap - b)) - 1):
+                if (sums.of(below.tolist()) >> (b + 1)) & ((1 << (gap - b)) - 1):
                     break
             if b == a:
                 n = int(count[a]) // 2
@@ -159,12 +173,14 @@ def solve(count: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(runs), np.int64).reshape(-1, 6), at
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, ranks: str | None = None, end: int = END, salts: int = SALTS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, ranks: str | None = None, end: int = END, salts: int | None = None) -> DataFrame:
     """All documents in as few sequences of at most ``capacity`` tokens as best fit finds.
 
     Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    meta = written(pieces(docs, capacity, tokenizer, ranks, end).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")), "pieces")
+    meta = written(pieces(docs, capacity, tokenizer, ranks, end), "pieces")
+    salts = salts or min(MOST_SALTS, max(SALTS, meta.count() // SALT_PIECES))
+    meta = meta.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     table = np.zeros((capacity + 1, salts), np.int64)
     for length, salt, n in meta.groupBy("length", "salt").count().collect():  # at most capacity * salts rows
         table[length, salt] = n
