@@ -11,7 +11,11 @@
 
 Nulls and empty texts: a null text is an empty one and gives the end mark alone;
 a null doc_id stays null in ``doc_ids``. Repeated rows are written each. An empty
-table gives no rows and no files. Extra columns are ignored.
+table gives no rows and no files. Extra columns are ignored. A vocabulary with ids of
+65535 or more is an error, as the records are 16 bits wide.
+
+The index follows the order in which the input is read: the same files read in splits
+of the same size get the same slots.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ STRIDE = 2048
 SHARD_SLOTS = 4096
 PAD = 0xFFFF
 END = 50256
+SAMPLES = 400
 ROWS = "part int, place long, n_tokens int, doc_ids array<long>, ids binary"
 FILED = "slot long, sequence long, shard int, byte_offset long, n_tokens int, doc_ids array<long>, path string"
 
@@ -53,18 +58,31 @@ def feistel(index: np.ndarray, size: int, key: int, rounds: int = 4) -> np.ndarr
     return out.astype(np.int64)
 
 
-def travel_form(docs: DataFrame, stride: int, files: tuple) -> tuple[bytes, np.ndarray]:
-    """A zstd dictionary and ids by frequency, from a few texts. They change how ids
-    travel between stages (common ids as small numbers, compressed), never what is written."""
-    import zstandard
+def travel_form(docs: DataFrame, stride: int, files: tuple, samples: int = SAMPLES) -> tuple[bytes, np.ndarray]:
+    """A zstd dictionary and ids by frequency, from ``samples`` whole texts read in one task.
+    They change how ids travel between stages (common ids as small numbers, compressed),
+    never what is written."""
+
+    def run(parts):
+        import zstandard
+
+        encode = make_encoder(*files)
+        flow = sixteen_bits([i for batch in parts for (t,) in batches(batch, ["text"]) for x in t for i in encode(x)])
+        order = np.argsort(-np.bincount(flow, minlength=1 << 16), kind="stable").astype("<u2")
+        ranked = _inverse(order)[flow]
+        pieces = [ranked[k : k + stride].tobytes() for k in range(0, len(flow) - stride, stride)]
+        dictionary = zstandard.train_dictionary(112_640, pieces).as_bytes() if len(pieces) * stride * 2 >= 1_000_000 else b""
+        yield pa.RecordBatch.from_arrays([pa.array([dictionary], pa.binary()), pa.array([order.tobytes()], pa.binary())], names=["dictionary", "by_count"])
+
+    some = docs.where("text is not null").select(F.col("text").cast("string").alias("text")).limit(samples).coalesce(1)
+    row = some.mapInArrow(run, "dictionary binary, by_count binary").first()
+    return (bytes(row["dictionary"]), np.frombuffer(row["by_count"], "<u2")) if row else (b"", np.arange(1 << 16, dtype="<u2"))
+
 
-    encode = make_encoder(*files)
-    some = [encode(r[0]) for r in docs.where("text is not null").select(F.substring("text", 1, 20_000)).limit(400).collect()]
-    flow = np.array([i for ids in some for i in ids], "<u2")
-    order = np.argsort(-np.bincount(flow, minlength=1 << 16), kind="stable").astype("<u2")
-    ranked = _inverse(order)[flow]
-    samples = [ranked[k : k + stride].tobytes() for k in range(0, len(flow) - stride, stride)]
-    return zstandard.train_dictionary(112_640, samples).as_bytes() if len(samples) * stride * 2 >= 1_000_000 else b"", order
+def sixteen_bits(ids: list[int]) -> np.ndarray:
+    if ids and max(ids) >= PAD:
+        raise ValueError(f"token id {max(ids)} does not fit a 16-bit record")
+    return np.array(ids, "<u2")
 
 
 def _inverse(order: np.ndarray) -> np.ndarray:
@@ -99,7 +117,7 @@ def token_sequences(docs: DataFrame, stride: int, files: tuple, end: int, form:
 
         for batch in parts:
             for ids, texts in batches(batch, ["doc_id", "text"]):
-                new = [np.array([*encode(t), end] if t else [end], "<u2") for t in texts]
+                new = [sixteen_bits([*encode(t), end] if t else [end]) for t in texts]
                 ends = len(held) + np.cumsum([len(x) for x in new])
                 starts = ends - [len(x) for x in new]
                 flow = np.concatenate([held, *new])
