@@ -181,6 +181,23 @@ def test_unwanted_payloads_are_not_read():
     assert [len(p) for _, _, p in warc.parse_records(plain, lambda h: True, True)] == [len(noise), 1]
 
 
+def test_archives_of_others(spark, tmp_path):
+    import gzip
+
+    def foreign(number, extra=b""):
+        body = b"HTTP/1.1 200 OK\r\n\r\npage %d" % number
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:%d>\r\n%sContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % (number, extra, len(body)) + body + b"\r\n\r\n"
+
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.warc").write_bytes(foreign(1) + foreign(2, b"WARC-Target-URI: http://h/\r\n folded\r\nX-Odd: caf\xe9\r\n"))
+    (tmp_path / "deep" / "b.warc.gz").write_bytes(gzip.compress(foreign(3)) + gzip.compress(foreign(4)))
+    (tmp_path / ".hidden.warc").write_bytes(b"no record")
+    (tmp_path / "notes.txt").write_bytes(b"no record")
+    got = {r["record_id"]: (bytes(r["payload"]), r["target_uri"]) for r in warc.read(spark, f"file://{tmp_path}").collect()}
+    assert got == {f"<urn:x:{k}>": (b"page %d" % k, "http://h/ folded" if k == 2 else None) for k in (1, 2, 3, 4)}
+    assert warc.read(spark, f"file://{tmp_path}/a.warc").count() == 2
+
+
 # --- URL filter
 
 RULES = queries.URL_RULES

@@ -124,7 +124,8 @@ def test_components_of_a_long_chain(spark):
 
 def test_word_stream_tells_words_apart():
     stream = WordStream()
-    for text in [ENGLISH, FRENCH, "", "a_b A-B, ab ba é É ½x 日本 12 21", "x" * 9000 + " y", None]:
+    every = [r["text"] for r in document_texts()]
+    for text in [*every, ENGLISH, FRENCH, "", "a_b A-B, ab ba é É ½x 日本 12 21", "x" * 9000 + " y", None]:
         words = plain_words(text)
         got = stream(text)
         assert len(got) == len(words) and len(set(got.tolist())) == len(set(words))
@@ -134,12 +135,19 @@ def test_word_stream_tells_words_apart():
 # --- tokens
 
 
+def document_texts():
+    import pyarrow.parquet as pq
+
+    return [r for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).to_pylist() if r["text"]]
+
+
 def test_fast_and_slow_tokenizers_agree():
     from tokenizers import Tokenizer
 
     files = tokenizer_files()
     fast, slow = make_encoder(*files), Tokenizer.from_file(files[0])
-    for text in [ENGLISH, FRENCH, "", "  \n\n x", "日本語 ½ ²", f"a{SPECIAL}b", "don't WE'LL", "x" * 5000, "\u0301a\u200d", "1" * 300]:
+    every = [r["text"] for r in document_texts()]
+    for text in [*every, ENGLISH, FRENCH, "", "  \n\n x", "日本語 ½ ²", f"a{SPECIAL}b", "don't WE'LL", "x" * 5000, "\u0301a\u200d", "1" * 300]:
         assert list(fast(text)) == slow.encode(text, add_special_tokens=False).ids
 
 
@@ -211,6 +219,39 @@ def test_dominance_keeps_an_optimal_packing():
         assert sorted(x for run in runs for x in [run[0]] * int(run[2] - run[1])) == sorted(lengths)
 
 
+def plain_reduction(count, capacity):
+    """The same reduction with the reachable sums found anew, by a set of numbers, at every step."""
+    fixed = []
+    for a in range(capacity, 0, -1):
+        while count[a]:
+            gap = capacity - a
+            below = [x for x in range(1, gap + 1) if count[x] and not (x == a and count[a] == 1)]
+            if not below:
+                fixed.append(([(a, 1)], int(count[a])))
+                count[a] = 0
+                break
+            b, sums = max(below), {0}
+            for _ in range(capacity):
+                sums |= {s + x for s in sums for x in below if s + x <= gap}
+            if any(s > b for s in sums):
+                break
+            n = int(count[a]) // 2 if a == b else int(min(count[a], count[b]))
+            fixed.append(([(a, 2)] if a == b else [(a, 1), (b, 1)], n))
+            count[a] -= n * (2 if a == b else 1)
+            count[b] -= n * (a != b)
+    return fixed
+
+
+def test_dominance_is_checked_against_the_lengths_that_are_left():
+    rng = np.random.default_rng(2)
+    cases = [(np.bincount([1, 5, 5, 10], minlength=14), 13)]
+    cases += [(np.bincount(rng.integers(1, c + 1, size=int(rng.integers(1, 14))), minlength=c + 1), c) for c in rng.integers(5, 25, size=400).tolist()]
+    for count, capacity in cases:
+        ours, plain = count.copy(), count.copy()
+        assert packing.reduce_dominated(ours, capacity) == plain_reduction(plain, capacity) and (ours == plain).all()
+    assert packing.reduce_dominated(np.bincount([1, 5, 5, 10], minlength=14), 13)[0] == ([(1, 1), (10, 1)], 1)
+
+
 def test_feistel_is_a_keyed_permutation():
     for n in (1, 2, 3, 7, 64, 1000, 4097):
         assert sorted(token_shards.feistel(np.arange(n), n, 5).tolist()) == list(range(n))
@@ -231,6 +272,10 @@ def test_token_shards_round_trip(spark):
         want.update(encode(r["text"]) if r["text"] else [])
         want[token_shards.END] += 1
     assert Counter(ids.tolist()) == want
+    flows = [np.concatenate([np.array([*(encode(r["text"]) if r["text"] else []), token_shards.END], "<u2") for r in part]) for part in docs.select("text").rdd.glom().collect() if part]
+    brute = [flow[k : k + 32].tobytes() for flow in flows for k in range(0, len(flow), 32)]
+    assert [bytes(r["ids"]) for r in rows] == brute  # every id in order, and every slot
+    assert [r["slot"] for r in rows] == token_shards.feistel(np.arange(len(brute)), len(brute), 20_240_601).tolist()
     some = rows[3]
     got = token_shards.read_from(some["path"], some["slot"], 1, 32, 50)[0]
     assert got.tobytes() == some["ids"] and 9 in {d for r in rows for d in r["doc_ids"]}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from .common import fresh_path, written
+from .common import KeyFilter, fresh_path, written
 
 SCHEMA = "warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, path string, offset long, payload binary"
 #: column -> header, for the columns that a predicate can be pushed on
@@ -69,10 +69,18 @@ def parse_records(stream, keep, payloads: bool):
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        headers = {}
+        headers, name = {}, ""
         while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8").partition(":")
-            headers[name.strip().lower()] = value.strip()
+            try:
+                text = line.decode("utf-8")
+            except UnicodeDecodeError:
+                text = line.decode("latin-1")
+            if text[0] in " \t" and name:  # a folded line goes on with the value before it
+                headers[name] += " " + text.strip()
+                continue
+            name, _, value = text.partition(":")
+            name = name.strip().lower()
+            headers[name] = value.strip()
         length = int(headers["content-length"])
         if payloads and keep(headers):
             block = stream.read(length)
@@ -141,6 +149,21 @@ def gzip_records(file, keep, payloads: bool):
         at += known
 
 
+def archive_files(store, root: str) -> list:
+    """The files of an archive: those of its manifest; without one, every ``.warc`` and
+    ``.warc.gz`` file below the folder but hidden ones; or the file itself."""
+    from pyarrow import fs
+
+    whole = store.get_file_info(root)
+    if whole.type == fs.FileType.File:
+        return [whole]
+    if store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
+        with store.open_input_stream(f"{root}/{MANIFEST}") as f:
+            return store.get_file_info([f"{root}/{n}" for n in sorted(json.loads(f.read())["files"])])
+    found = store.get_file_info(fs.FileSelector(root, recursive=True))
+    return sorted((x for x in found if x.type == fs.FileType.File and x.path.endswith((".warc", ".warc.gz")) and x.base_name[0] not in "._"), key=lambda x: x.path)
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -164,16 +187,14 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, root = _store(self.path)
-        with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-            names = json.loads(f.read())["files"]
         groups, room = [], 0
-        for info in store.get_file_info([f"{root}/{n}" for n in sorted(names)]):
+        for info in archive_files(store, root):
             if info.type != fs.FileType.File:
                 raise FileNotFoundError(info.path)
             if not groups or info.size > room:
                 groups.append([])
                 room = self.split
-            groups[-1].append(f"{self.path.rstrip('/')}/{info.base_name}")
+            groups[-1].append(self.path if info.path == root else f"{self.path.rstrip('/')}{info.path.removeprefix(root.rstrip('/'))}")
             room -= info.size
         return [Files(g) for g in groups] or [Files([])]
 
@@ -292,11 +313,17 @@ def register(spark: SparkSession) -> None:
 
 def to_records(pages: DataFrame) -> DataFrame:
     """Record rows for pages: equal payloads of at least LEAST_REVISIT bytes are one
-    response, that with the smallest page_id, and revisits of it."""
+    response, that with the smallest page_id, and revisits of it. Digests are joined;
+    a payload moves only if it is a revisit's, which is not written."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload").cast("long"))
-    first = rows.where(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("digest", "first")
-    rows = rows.join(first, "digest", "left").withColumn("again", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    rows = rows.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("none")))
+    slim = written(rows.where(F.col("n") >= LEAST_REVISIT).select("page_id", "key", "digest"), "digests")
+    first = written(slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("digest", "first"), "copies")
+    again = written(slim.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("key", "digest", "first").distinct(), "revisits")
+    maybe = KeyFilter(again, ["key", "digest"]).maybe()
+    moved = rows.where(maybe).join(again, ["key", "digest"], "left").select(*rows.columns, "first")
+    rows = rows.where(~maybe).withColumn("first", F.lit(None).cast("long")).unionByName(moved).withColumn("again", F.col("first").isNotNull())
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     return rows.select(
         F.when(F.col("again"), "revisit").otherwise("response").alias("warc_type"), urn("page_id").alias("record_id"), F.coalesce("url", F.lit("")).alias("target_uri"),
