@@ -379,10 +379,13 @@ def test_search_matches_brute_force(spark):
     rng = np.random.default_rng(6)
     docs = [(k, " ".join(f"t{min(int(rng.zipf(1.4)), 400)}" for _ in range(int(rng.integers(1, 80))))) for k in range(300)]
     docs += [(900, None), (901, ""), (7, docs[7][1])]
-    queries = [(k, docs[k][1]) for k in range(0, 300, 20)] + [(1000, None), (1001, "nothing here")]
+    docs += [(k, docs[40][1]) for k in (903, 902)]  # equal scores
+    asked = [(k, docs[k][1]) for k in range(0, 300, 20)] + [(1000, None), (1001, "nothing here")]
+    queries = [*asked[:-1], (1002, f"{docs[3][1]} {docs[4][1]}"), asked[-1]]
+    asked += [asked[2], asked[2], (None, "t1"), (1002, docs[3][1]), (1002, docs[4][1])]  # repeated rows; two texts of one query
     frame = clashing(spark.createDataFrame(docs + [(None, "t1 t2")], "doc_id long, text string"))
     got = {}
-    for r in bm25.search(frame, spark.createDataFrame(queries, "query_id long, text string"), k=5, shard_words=900, query_block=4).collect():
+    for r in bm25.search(frame, spark.createDataFrame(asked, "query_id long, text string"), k=5, shard_words=900, query_block=4).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
     bags = [(i, Counter(bm25.WORD.findall((t or "").lower()))) for i, t in docs]
     mean = sum(sum(b.values()) for _, b in bags) / len(bags)
@@ -397,9 +400,30 @@ def test_search_matches_brute_force(spark):
         mine = sorted(got.get(q, []))
         assert [r for r, _, _ in mine] == list(range(1, len(want) + 1))
         assert np.allclose([s for _, _, s in mine], [s for s, _ in want])
+        assert q != 40 or [d for _, d, _ in mine][:3] == [40, 902, 903]
     assert bm25.search(empty(spark), spark.createDataFrame(queries, "query_id long, text string")).count() == 0
 
 
+def test_blocks_below_the_kth_score_are_not_opened():
+    rng = np.random.default_rng(3)
+    n, terms = 3200, 60
+    tf = rng.poisson(np.repeat(rng.gamma(0.2, 1.5, (n // 32, terms)), 32, axis=0))  # blocks differ in their terms
+    doc, term = np.nonzero(tf.T)[::-1]
+    ends = np.cumsum((tf > 0).sum(axis=0))
+    row = {"doc_ids": np.arange(n, dtype="<i8").tobytes(), "lengths": tf.sum(axis=1).astype("<i4").tobytes(), "terms": np.arange(terms, dtype=np.uint64).tobytes(), "ends": ends.astype("<i8").tobytes(), "posting_docs": doc.astype("<u2").tobytes(), "posting_tf": tf[doc, term].astype("<u4").tobytes()}
+    mean = tf.sum(axis=1).mean()
+    impact = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf.sum(axis=1)[:, None] / mean))
+    for long in (64, 10**9):  # long lists as dense rows, and all as postings
+        shard = bm25.Shard(row, mean, long=long)
+        queries = [(np.sort(rng.choice(terms, 3, replace=False)).astype(np.uint64), rng.random(3) + 0.1) for _ in range(40)]
+        want = [np.sort(impact[:, t.astype(int)] @ w)[::-1][:5] for t, w in queries]
+        for seeds in (None, np.array([x[4] for x in want])):
+            asked, docs, scores = shard.top(queries, 5, seeds)
+            for q in range(40):
+                assert np.allclose(np.sort(scores[asked == q])[::-1][:5], want[q])
+            assert shard.opened < 40 * shard.blocks * 0.5
+
+
 def test_search_counts_very_frequent_words(spark):
     docs = [(1, "w " * 200_000), (2, "w x y z"), *((k, "x y z") for k in range(3, 200))]
     got = {r["doc_id"]: r["score"] for r in bm25.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "w")], "query_id long, text string")).collect()}
