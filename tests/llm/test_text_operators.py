@@ -479,6 +479,26 @@ def test_masked_lm_trains_on_every_position(spark):
     assert (net.table[1][before] != masked_lm.Network().table[1][before]).any(axis=1).all()
 
 
+def test_masked_lm_predicts_unseen_texts_better_than_word_counts(spark):
+    rng = np.random.default_rng(4)
+    likely = rng.dirichlet(np.full(40, 0.08), size=40)
+
+    def text():
+        walk = [int(rng.integers(40))]
+        while len(walk) < 60:
+            walk.append(int(rng.choice(40, p=likely[walk[-1]])))
+        return " ".join(f"w{k}" for k in walk)
+
+    texts = [text() for _ in range(500)]
+    seen, unseen = (spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").coalesce(1) for t in (texts[:400], texts[400:]))
+    vocab = masked_lm.vocabulary(seen)
+    net = masked_lm.train(written(masked_lm.class_ids(seen, vocab), "ids"), rounds=2)
+    ours = masked_lm.score(masked_lm.class_ids(unseen, vocab), net, vocab.spread).agg(F.sum("log_likelihood") / F.sum("n_words")).first()[0]
+    counts = Counter(" ".join(texts[:400]).split())
+    words = " ".join(texts[400:]).split()
+    assert ours > sum(math.log((counts[w] + 1) / (sum(counts.values()) + 40)) for w in words) / len(words) + 0.5
+
+
 def test_masked_lm_scores_every_word_by_its_count(spark):
     common = " ".join(f"c{k} " * 10 for k in range(masked_lm.WORDS))
     rows = [(1, common), (2, "manyxq " * 8), (3, "rarexq"), (4, "c1 manyxq c2"), (5, "c1 rarexq c2"), (5, "c1 rarexq c2"), (None, "c1 rarexq c2"), (6, "")]

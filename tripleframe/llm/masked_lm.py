@@ -15,6 +15,9 @@ trained in numpy; the sum of the conditional log-probabilities scores a document
   gets about the square root of the number of partitions of them.
 * Scoring reads every position of every document.
 
+Every partition trains its own copy from the same start, so scores depend a little on
+how the input is split: the same files read in splits of the same size give the same.
+
 Nulls and odd cases: texts without words (null, empty) score 0 with 0 words; a
 document's edge is seen as a padding class; repeated rows are scored each; a null
 doc_id stays null; an empty table gives no rows; extra columns are ignored.
@@ -39,6 +42,7 @@ SIDE = 2
 HIDDEN = 32
 ROUNDS = 1
 SHARE = 1.0
+GROWS = 1024
 PAD = CLASSES
 
 
@@ -195,7 +199,7 @@ class Network:
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One SGD step on a small batch."""
-        order = np.argsort(target, kind="stable")
+        order = np.argsort(target.astype(np.uint16), kind="stable")  # a radix sort; class ids fit
         n, context, (group, inner) = len(target), context[:, order], np.divmod(target[order], self.groups)
         rows, rate = np.arange(n), np.float32(rate / n)
         h = self.hidden(context)
@@ -204,25 +208,28 @@ class Network:
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         own = group[starts]
         spans = list(zip(own.tolist(), starts.tolist(), [*starts[1:].tolist(), n], strict=True))
-        d_in = self.inner_bias[group]
+        d_in = np.empty((n, self.groups), np.float32)
         for g, a, b in spans:
-            d_in[a:b] += h[a:b] @ self.inner[g]
+            np.matmul(h[a:b], self.inner[g], out=d_in[a:b])
+        d_in += self.inner_bias[group]
         d_in = _softmax(d_in)
         d_in[rows, inner] -= 1
         d_h = d_out @ self.out.T
         for g, a, b in spans:
-            d_h[a:b] += d_in[a:b] @ self.inner[g].T
-            self.inner[g] -= rate * (h[a:b].T @ d_in[a:b])
+            part = d_in[a:b]
+            d_h[a:b] += part @ self.inner[g].T
+            self.inner[g] -= rate * (h[a:b].T @ part)
         d_h *= 1 - h * h
         self.inner_bias[own] -= rate * np.add.reduceat(d_in, starts, axis=0)
         self.out -= rate * (h.T @ d_out)
         self.out_bias -= rate * d_out.sum(axis=0)
         self.bias -= rate * d_h.sum(axis=0)
-        cell = (context + np.arange(2 * SIDE)[:, None] * self.table.shape[1]).ravel()
-        order = np.argsort(cell)
-        cell = cell[order]
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.table.reshape(-1, HIDDEN)[cell[first]] -= rate * np.add.reduceat(d_h[order % n], first, axis=0)
+        d_h *= rate
+        for k in range(2 * SIDE):
+            order = np.argsort(context[k].astype(np.uint16), kind="stable")
+            cell = context[k][order]
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            self.table[k][cell[first]] -= np.add.reduceat(d_h[order], first, axis=0)
 
 
 def _log_sum(score: np.ndarray) -> np.ndarray:
@@ -231,8 +238,11 @@ def _log_sum(score: np.ndarray) -> np.ndarray:
 
 
 def _softmax(score: np.ndarray) -> np.ndarray:
-    e = np.exp(score - score.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    """In place."""
+    score -= score.max(axis=1, keepdims=True)
+    np.exp(score, out=score)
+    score /= score.sum(axis=1, keepdims=True)
+    return score
 
 
 def windows(docs: list[np.ndarray], pad: int = PAD) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +262,8 @@ def averaged(blobs: list[bytes], weights: list[float]) -> np.ndarray:
 
 
 def train(ids: DataFrame, rounds: int = ROUNDS, share: float = SHARE, rate: float = 2.0, batch_size: int = 256, seed: int = 5, groups: int = GROUPS) -> Network:
-    """Parameter-averaged SGD; ids: doc_id, classes, as written to files."""
+    """Parameter-averaged SGD; ids: doc_id, classes, as written to files. After GROWS batches
+    of a partition, batches are four times as large and the rate half as much again."""
     net = Network(seed=seed, groups=groups)
     parts = max(1, ids.rdd.getNumPartitions())
     fan = max(1, int(np.ceil(np.sqrt(parts))))
@@ -270,10 +281,11 @@ def train(ids: DataFrame, rounds: int = ROUNDS, share: float = SHARE, rate: floa
                 nonlocal held_c, held_t, held
                 context, target = np.concatenate(held_c, axis=1), np.concatenate(held_t)
                 mixed = rng.permutation(held)
-                for lo in range(0, held if last else held - held % batch_size, batch_size):
-                    now = mixed[lo : lo + batch_size]
-                    own.step(context[:, now], target[now], rate / (1 + turn) * (len(now) / min(batch_size, seen)))
-                left = mixed[held - held % batch_size :]  # goes with the next lot
+                size, speed = (4 * batch_size, 1.5 * rate) if seen > GROWS * batch_size else (batch_size, rate)
+                for lo in range(0, held if last else held - held % size, size):
+                    now = mixed[lo : lo + size]
+                    own.step(context[:, now], target[now], speed / (1 + turn) * (len(now) / min(size, seen)))
+                left = mixed[held - held % size :]  # goes with the next lot
                 held_c, held_t, held = [context[:, left]], [target[left]], len(left)
 
             for batch in batches_:
