@@ -100,6 +100,29 @@ def test_main_text_of_many_class_words_and_deep_pages(spark):
 
 
 
+def test_main_text_with_telling_class_words(spark):
+    bodies = {
+        1: ("<body class='post has-sidebar no-comments'><article class='breaking-alert'><h1>A</h1><p>One of it</p></article><div class='sidebar-left'>Side</div>", "A\nOne of it"),
+        2: ("<article><h1 class='page-header-title'>B</h1><section class='related-work'><p>Earlier work</p></section><div class='advertising-history'>Ads of old</div><div class='commentary'>We think</div></article>", "B\nEarlier work\nAds of old\nWe think"),
+        3: ("<main class='with-sidebar'><p>Text</p><div class='commentList'>Me too</div><div id='related'>More</div><ul class='share-buttons'><li>Tell</li></ul></main><div class='footer-blue'>End</div>", "Text"),
+        4: ("<article><p>Then <math><mi>e</mi><mo>=</mo><mn>2.718</mn><semantics><annotation>e=2.718</annotation></semantics></math> holds.</p></article><article class='comment'><p>Nice</p></article>", "Then e=2.718 holds."),
+    }
+    got = texts(spark, [(k, f"http://words{k}.example.com/", page(b, k)) for k, (b, _) in bodies.items()])
+    assert {k: got[k]["text"] for k in bodies} == {k: want for k, (_, want) in bodies.items()}
+
+
+@pytest.mark.parametrize("pages", [1, 2, 4, 5, 60])
+def test_main_text_at_every_host_size(spark, pages):
+    families = {
+        "div": "<div class='bar'><a href=/>Home</a></div><div class='c1'><h2>Title {k}</h2><p>Story {k} has w{k} words of its own here.</p></div>",
+        "table": "<table><tr><td><a href=/>Home</a> <a href=/b>Next</a></td></tr><tr><td><p>Title {k}</p><p>Story {k} has w{k} words of its own here.</p></td></tr></table>",
+        "semantic": "<header>Site</header><main><h2>Title {k}</h2><p>Story {k} has w{k} words of its own here.</p></main><footer>End</footer>",
+    }
+    rows = [(1000 * n + k, f"http://{name}.example.com/", page(body.format(k=k), k)) for n, (name, body) in enumerate(families.items()) for k in range(pages)]
+    got = texts(spark, rows)
+    assert all(got[i]["text"] == f"Title {i % 1000}\nStory {i % 1000} has w{i % 1000} words of its own here." for i, _, _ in rows)
+
+
 def test_main_text_odd_inputs(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://a/", "plain words only"), (4, "http://a/", page("<article><p>cut &amp")[:-20]), (5, "http://a/", "<article><p>5 &lt; 6 <!-- gone --> ok"), (5, "http://a/", "<article><p>5 &lt; 6 <!-- gone --> ok"), (None, "http://a/", "<p>id</p>"), (7, "http://a/", "<p>" + "long " * 200_000 + "</p>"), (8, "http://a/", "<div " * 50 + "<p>x")]
     frame = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as host", "2 as main", "'x' as text", "3 as constant")

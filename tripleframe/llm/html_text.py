@@ -13,8 +13,9 @@
 4. A third pass sums the text in the slots: a slot lies in one template element
    between two tokens of that element's class. Text under paths that aren't in the
    template (ids of single pages) is in the slot of the template element around it.
-5. A slot is constant if at least 95 % of the host's distinct pages that have it carry
-   one text. The main container is the template element that holds most words which
+5. A slot is constant if at least 95 % of the host's distinct pages that have it (two or
+   more) carry one text, unless it is the host's largest slot, or if all it ever holds is
+   links; slots inside an article or main element are never constant. The main container is the template element that holds most words which
    are neither links nor constant nor in parts marked as menus, headers, footers,
    sidebars, notices, adverts, forms or comments. Its slots are the main text, but
    for marked parts and constant slots.
@@ -45,14 +46,18 @@ from .url_filter import host_of
 
 #: HTML elements by their handling.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp svg math select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select annotation".split())
+MATH = "math mrow mi mo mn ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mpadded mphantom mstyle menclose semantics mmultiscripts"
+INLINE = frozenset(f"{MATH} a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
 NO_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-#: Elements and class, id or role words that mark parts which aren't the article.
+#: Elements that aren't part of an article, and English words that name such parts in classes,
+#: ids and roles: a tie-break on a slot's own elements, chosen here.
 APART = frozenset("head nav footer aside form button dialog menu".split())
-MARKS = frozenset("ad ads adv advert advertisement sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar aside rail cookie cookies consent notice alert popup modal gdpr comment comments reply replies disqus discussion footer header masthead topbar share sharing social related recommended widget newsletter subscribe signup login search pagination pager tags toolbar complementary contentinfo".split())
-STARTS = tuple("advert banner breadcrumb comment consent cookie footer navbar navigation newsletter popup promo sidebar sponsor subscri".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside rail cookie cookies consent notice alert popup modal gdpr comment comments reply replies disqus discussion footer header masthead topbar share sharing social related recommended widget newsletter subscribe subscription signup login search pagination pager tags toolbar complementary contentinfo".split())
+#: A mark before one of these words names a part ("comment-list"); before another it may be a topic ("related-work").
+PARTS = frozenset("list bar box wrap wrapper container holder links link item items area section widget block left right top bottom inner outer content slot unit body form button buttons main panel group row column col primary secondary text message overlay".split())
+LAYOUT = frozenset("has with without no not is".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 LABEL = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -71,12 +76,31 @@ def step_of(tag: str, attributes: str) -> str:
     return ".".join([tag, *dict.fromkeys(words)]).replace("\n", " ").replace("/", "_")
 
 
+@lru_cache(65536)
+def names_part(word: str, inside: bool) -> bool:
+    """Whether a class, id or role word names a part that isn't the article: a mark alone or
+    at the end ("site-footer"), or a mark before the word for a part ("commentList"). Other
+    words after a mark ("footer-blue") count outside of articles only."""
+    words = [w.lower() for w in WORDS.findall(word)]
+    if not words or words[0] in LAYOUT:
+        return False
+    own = MARKS - {"header"} if inside else MARKS
+    if words[-1] in own or (len(words) > 1 and words[0] in own and (not inside or words[-1] in PARTS)):
+        return True
+    return len(words) == 1 and any(words[0] == m + part for m in own for part in PARTS if words[0].startswith(m))
+
+
 def marked(step: str, inside: bool) -> bool:
-    """Whether a step says that it is not part of an article; ``inside`` an article or main element a header is its own."""
+    """Whether a step says that it is not part of an article; ``inside`` an article or main element
+    a header is its own. Words on the page itself or on an article say how it looks, not that it is none."""
     tag, *words = step.split(".")
+    if tag in ("#", "html", "body", "main"):
+        return False
+    if tag == "article":
+        return any(w.lower() in ("comment", "comments", "reply") for w in words)
     if tag in APART or (tag == "header" and not inside):
         return True
-    return any((w in MARKS and not (inside and w == "header")) or w.startswith(STARTS) for word in words for w in map(str.lower, WORDS.findall(word)))
+    return any(names_part(word, inside) for word in words)
 
 
 def apart(steps: list[str]) -> bool:
@@ -272,8 +296,10 @@ def signed(value: int) -> int:
 
 
 def choose(slots: list[tuple[str, int, int, int, int]], template: dict[str, int]) -> tuple[str, list[str]]:
-    """(main container, constant slots) from a host's slots (slot, pages with it, pages with its most frequent text, words, link words)."""
-    constant = [slot for slot, n, same, _, _ in slots if n >= 5 and same * 20 >= n * 19 and not re.search(r"(^|/)(article|main)\b", slot.split("\t")[0])]
+    """(main container, constant and link slots) from a host's slots (slot, pages with it, pages with its most frequent text, words, link words)."""
+    widest = max((words / n for _, n, _, words, _ in slots), default=0)  # what holds most of a page is not its frame, even on a host of near copies
+    outside = [row for row in slots if not re.search(r"(^|/)(article|main)\b", row[0].split("\t")[0])]
+    constant = [slot for slot, n, same, words, links in outside if (n > 1 and same * 20 >= n * 19 and words < widest * n) or 0 < words <= links]
     left_out = set(constant)
     held: dict[str, int] = {}
     for slot, _, _, words, links in slots:
