@@ -57,6 +57,12 @@ def test_exists_is_a_semi_join(spark):
         assert kind in plan and "BroadcastNestedLoop" not in plan
 
 
+def test_joins_on_variables_that_may_be_unbound_are_equi_joins(spark):
+    for name in ("values_undef", "optional_reused"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join" in plan
+
+
 def test_top_k_takes_ordered(spark):
     assert "TakeOrderedAndProject" in queries.QUERIES["flagship"](spark, SF)._jdf.queryExecution().executedPlan().toString()
 

@@ -2,9 +2,8 @@
 
 A ``Rel`` is a DataFrame whose columns hold the values of variables, with the
 shape of each variable and whether it is certainly bound. Joins on certainly
-bound variables are equi-joins; only where a value may be unbound does the
-condition become "either is unbound, or equal" (and stays a hash join if some
-other shared variable is certain). FILTERs of an OPTIONAL become its join
+bound variables are equi-joins; where a value may be unbound, each side is split
+by what is bound and the parts meet in equi-joins. FILTERs of an OPTIONAL become its join
 condition, EXISTS a correlated subquery that Catalyst turns into a semi or anti
 join. Patterns with one subject over one table with a unique key become one scan.
 """
@@ -14,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +53,10 @@ def cells(v: Val, base: str) -> list[Column]:
     return [v.i.alias(f"{base}_i"), v.d.alias(f"{base}_d")] if v.shape == "num" else [v.col.alias(base)]
 
 
+def subsets(names: list[str]) -> list[set[str]]:
+    return [{v for k, v in enumerate(names) if bits >> k & 1} for bits in range(1 << len(names))]
+
+
 def both(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
 
@@ -150,7 +154,8 @@ class Compiler:
                 vals[var] = V.number(F.col(names[k]).cast("long"), F.col(names[k]).cast("double"), True)
             else:
                 vals[var] = Val("nt", F.col(names[k]))
-        df = self.spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"{n} string" for n in names))
+        # Through Arrow the rows are part of the plan, so parts of them that are empty fall out of it.
+        df = self.spark.createDataFrame(pa.table([pa.array([r[k] for r in rows], pa.string()) for k in range(len(names))], names=names))
         return self.rel(df, vals, {v for v, c in zip(p.vars, columns, strict=True) if None not in c})
 
     # --- basic graph patterns
@@ -324,8 +329,45 @@ class Compiler:
             keys = [c for v in shared for c in left.columns(v)[:1]]
             extra = [c for v in shared for c in right.columns(v)[1:]]
             return self.merged(left.df.join(right.df.drop(*extra), keys), left, right, [], certain)
-        df, test = self.condition(left, right, shared)
-        return self.merged(left.df.join(df, test), left, right, shared, certain)
+        return self.merged(self.compatible(left, right, shared, "inner"), left, right, shared, certain)
+
+    def compatible(self, left: Rel, right: Rel, shared: list[str], how: str, filters: Column | None = None) -> DataFrame:
+        """Rows of both sides that agree on every shared variable bound on both.
+
+        Which of the variables that may be unbound are bound splits each side into parts; two
+        parts meet in a join on the keys that both bind, so there is no "unbound or equal" test.
+        With more than three such variables the rest stays in the condition. Parts without a
+        common key (all values unbound on one side) meet in a product, as they must. how:
+        inner, left_anti, or left where the right side has one part.
+        """
+        free = [v for v in shared if v not in left.certain or v not in right.certain][:3]
+        other, test = self.condition(left, right, [v for v in shared if v not in free])
+        for v in free:
+            for c in right.columns(v):
+                other = other.withColumnRenamed(c, f"{c}__r")
+        if filters is not None:
+            test = test & filters
+        a = {v: F.col(left.columns(v)[0]) for v in free}
+        b = {v: F.col(f"{right.columns(v)[0]}__r") for v in free}
+
+        def part(df, columns, bound, loose):
+            return df.where(both([columns[v].isNotNull() if v in bound else columns[v].isNull() for v in loose]))
+
+        loose_left, loose_right = ([v for v in free if v not in side.certain] for side in (left, right))
+        out = []
+        for bound_left in subsets(loose_left):
+            mine = part(left.df, a, bound_left, loose_left)
+            for bound_right in subsets(loose_right):
+                keys = [v for v in free if (v in bound_left or v not in loose_left) and (v in bound_right or v not in loose_right)]
+                theirs = part(other, b, bound_right, loose_right)
+                match = both([*(a[v] == b[v] for v in keys), test])
+                if how != "left_anti":
+                    out.append(mine.join(theirs, match, how))
+                elif keys or len(free) < len(shared):  # else nothing in common: MINUS keeps the row
+                    mine = mine.join(theirs, match, "left_anti")
+            if how == "left_anti":
+                out.append(mine)
+        return reduce(lambda x, y: x.unionByName(y), out)
 
     def left_join(self, left: Rel, right: Rel, filters: list) -> Rel:
         left, right, shared = self.aligned(left, right)
@@ -340,18 +382,25 @@ class Compiler:
                     return coalesced(left.val(var), right.val(var, "__r"))
                 return left.val(var) if var in left.shapes else right.val(var)
 
-            test = both([test, *[V.ebv(self.expr(f, whole, see)) for f in filters]])
-        return self.merged(left.df.join(df, test, "left"), left, right, shared, set(left.certain))
+            filters = [V.ebv(self.expr(f, whole, see)) for f in filters]
+        if all(v in left.certain for v in shared) or not all(v in right.certain for v in shared):
+            return self.merged(left.df.join(df, both([test, *filters]), "left"), left, right, shared, set(left.certain))
+        return self.merged(self.compatible(left, right, shared, "left", both(filters) if filters else None), left, right, shared, set(left.certain))
 
     def minus(self, left: Rel, right: Rel) -> Rel:
         left, right, shared = self.aligned(left, right)
         if not shared:
             return left
         df, test = self.condition(left, right, shared)
-        if not any(v in left.certain and v in right.certain for v in shared):
-            some = [F.col(left.columns(v)[0]).isNotNull() & F.col(f"{right.columns(v)[0]}__r").isNotNull() for v in shared]
-            test = test & reduce(lambda a, b: a | b, some)
-        return Rel(left.df.join(df, test, "left_anti"), left.shapes, left.certain, left.names)
+        if all(v in left.certain and v in right.certain for v in shared):
+            return Rel(left.df.join(df, test, "left_anti"), left.shapes, left.certain, left.names)
+        loose = [v for v in shared if v not in left.certain or v not in right.certain]
+        if len(loose) > 3:  # a part may lack a common key but for the variables left in the condition
+            if not any(v in left.certain and v in right.certain for v in shared):
+                some = [F.col(left.columns(v)[0]).isNotNull() & F.col(f"{right.columns(v)[0]}__r").isNotNull() for v in shared]
+                test = test & reduce(lambda a, b: a | b, some)
+            return Rel(left.df.join(df, test, "left_anti"), left.shapes, left.certain, left.names)
+        return Rel(self.compatible(left, right, shared, "left_anti").select(*left.df.columns), left.shapes, left.certain, left.names)
 
     def union(self, rels: list[Rel]) -> Rel:
         names = list(dict.fromkeys(v for r in rels for v in r.shapes))
