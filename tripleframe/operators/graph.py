@@ -72,6 +72,8 @@ class Graph:
             new = step.select(F.col("b").alias("node"), F.lit(level).alias("hops"), "parent").join(seen.select("node"), "node", "left_anti")
             frontier = written(new, "bfs")
             seen = seen.unionAll(frontier)
+            if level % 8 == 0:  # else the plan grows by an input a level
+                seen = written(seen, "bfs")
         return seen
 
     def shortest_path(self, source, target) -> list | None:

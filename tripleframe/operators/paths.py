@@ -1,9 +1,9 @@
 """Property paths as sets of (a, b) pairs of canonical strings.
 
 Closures run semi-naively over DataFrames: from a constant end only the frontier
-is joined with the steps; with both ends free the pairs found so far are composed
-with themselves, which needs a logarithmic number of rounds. Each round is
-written to the shared folder.
+is joined with the steps; with both ends free the new pairs are composed with all
+known ones, which needs a logarithmic number of rounds. Each round is written to
+the shared folder; every few rounds what is known is written anew as one table.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from ..functions import values as V
 from ..functions.values import Val
 from ..storage import written
 
+#: Rounds after which a union of rounds becomes one table.
+COMPACT = 8
+
 
 class Paths:
     def __init__(self, compiler):
@@ -78,25 +81,30 @@ class Paths:
 def reach(steps: DataFrame, first: DataFrame) -> DataFrame:
     """All (a, b) with b reached from the pairs ``first`` by further steps."""
     seen = frontier = written(first.select("a", "b").distinct(), "reach")
-    onward = steps.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    onward, level = steps.select(F.col("a").alias("b"), F.col("b").alias("c")), 0
     while not frontier.isEmpty():
         more = frontier.join(onward, "b").select("a", F.col("c").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
         frontier = written(more, "reach")
-        seen = seen.unionAll(frontier)
+        seen, level = seen.unionAll(frontier), level + 1
+        if level % COMPACT == 0:
+            seen = written(seen, "reach")
     return seen
 
 
 def transitive(steps: DataFrame) -> DataFrame:
-    """The transitive closure by composing what is known with itself."""
-    known = written(steps.select("a", "b").distinct(), "closure")
-    size = known.count()
-    while True:
-        longer = known.join(known.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        known = written(known.unionAll(longer).distinct(), "closure")
-        now = known.count()
-        if now == size:
-            return known
-        size = now
+    """The transitive closure, by doubling: each round composes the pairs that are new with
+    all that are known, on either side, and keeps what is new again."""
+    known = new = written(steps.select("a", "b").distinct(), "closure")
+    turn = 0
+    while not new.isEmpty():
+        after = new.join(known.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
+        before = known.join(new.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
+        longer = after.unionAll(before).select("a", F.col("c").alias("b")).distinct()
+        new = written(longer.join(known, ["a", "b"], "left_anti"), "closure")
+        known, turn = known.unionAll(new), turn + 1
+        if turn % COMPACT == 0:
+            known = written(known, "closure")
+    return known
 
 
 def graph_function(compiler, name: str, args: list[Val]) -> Val:

@@ -192,6 +192,20 @@ sparql("path_star", "SELECT ?x WHERE { <http://ex/customer/7> (:c_nation|:n_regi
 sparql("path_both_free", "SELECT ?a ?b WHERE { ?a (:s_nation|:n_region)+ ?b }", "SELECT 'http://ex/supplier/' || s_suppkey AS a, 'http://ex/nation/' || s_nationkey AS b FROM supplier UNION SELECT 'http://ex/supplier/' || s_suppkey, 'http://ex/region/' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT 'http://ex/nation/' || n_nationkey, 'http://ex/region/' || n_regionkey FROM nation")
 
 
+# --- more of the language on the mapping
+sparql("minus_keeps", "SELECT ?c WHERE { ?c :c_name ?n MINUS { ?o :o_customer ?c ; :o_totalprice ?t FILTER(?t > 300000) } }", "SELECT 'http://ex/customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+sparql("minus_unbound", "SELECT ?k ?x WHERE { ?k :n_name ?n OPTIONAL { ?x :s_nation ?k ; :s_acctbal ?a FILTER(?a > 5000) } MINUS { ?x :s_acctbal ?b FILTER(?b > 8000) } }", "SELECT 'http://ex/nation/' || n_nationkey AS k, 'http://ex/supplier/' || s_suppkey AS x FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 WHERE s_acctbal IS NULL OR s_acctbal <= 8000")
+sparql("join_unbound_both", "SELECT ?k ?x WHERE { { ?k :n_name ?n OPTIONAL { ?x :s_nation ?k ; :s_acctbal ?a FILTER(?a > 9000) } } { ?k :n_region <http://ex/region/1> OPTIONAL { ?x :s_nation ?k ; :s_acctbal ?b FILTER(?b < 500) } } }", "SELECT 'http://ex/nation/' || n_nationkey AS k, 'http://ex/supplier/' || coalesce(f.x, g.x) AS x FROM nation JOIN (SELECT n_nationkey AS k, s_suppkey AS x FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000) f ON f.k = n_nationkey JOIN (SELECT n_nationkey AS k, s_suppkey AS x FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal < 500) g ON g.k = n_nationkey AND (f.x IS NULL OR g.x IS NULL OR f.x = g.x) WHERE n_regionkey = 1")
+sparql("fn_bound", "SELECT ?c (BOUND(?t) AS ?b) WHERE { ?c :c_acctbal ?x OPTIONAL { ?c :c_acctbal ?t FILTER(?t > 5000) } }", "SELECT 'http://ex/customer/' || c_custkey AS c, c_acctbal > 5000 AS b FROM customer")
+sparql("fn_seconds", "SELECT ?e (SECONDS(?t) AS ?s) (STR(TIMEZONE(?t)) AS ?z) WHERE { ?e :ts ?t }", "SELECT 'http://ex/event/' || event_id AS e, extract(microsecond FROM ts) / 1000000.0::DOUBLE AS s, 'PT0S' AS z FROM events")
+sparql("fn_iri_bnode", 'SELECT ?n (STR(IRI(CONCAT("http://x/", ?n))) AS ?i) (ISIRI(IRI(?n)) AS ?a) (ISBLANK(BNODE(?n)) AS ?b) (BNODE(?n) = BNODE(?n) AS ?c) WHERE { ?k :n_name ?n }', "SELECT n_name AS n, 'http://x/' || n_name AS i, true AS a, true AS b, true AS c FROM nation")
+sparql("fn_overflow", "SELECT ?p (xsd:double(?s * 9223372036854775807) AS ?v) (?s * 9223372036854775807 > 1 AS ?big) (DATATYPE(?s * 9223372036854775807) AS ?t) WHERE { ?p :p_size ?s }", "SELECT 'http://ex/part/' || p_partkey AS p, p_size * 9223372036854775807::DOUBLE AS v, true AS big, 'http://www.w3.org/2001/XMLSchema#' || CASE WHEN p_size = 1 THEN 'integer' ELSE 'double' END AS t FROM part")
+sparql("fn_now", "SELECT (COUNT(*) AS ?n) WHERE { ?o :o_orderdate ?d FILTER(?d < NOW()) }", "SELECT count(*) AS n FROM orders")
+sparql("agg_sample", "SELECT ?r (SAMPLE(?t) AS ?one) (COUNT(?k) AS ?n) WHERE { ?k :n_region ?r . ?r :r_name ?t } GROUP BY ?r", "SELECT 'http://ex/region/' || r_regionkey AS r, r_name AS one, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
+sparql("agg_logic", "SELECT ?r (COUNT(?k) > 3 && MIN(?k) != MAX(?k) AS ?many) WHERE { ?k :n_region ?r } GROUP BY ?r", "SELECT 'http://ex/region/' || n_regionkey AS r, count(*) > 3 AND min(n_nationkey) <> max(n_nationkey) AS many FROM nation GROUP BY n_regionkey")
+sparql("select_reduced", "SELECT REDUCED ?r WHERE { ?r :r_name ?n }", "SELECT 'http://ex/region/' || r_regionkey AS r FROM region")
+
+
 # --- a store with named graphs: a graph for each region, names in the default graph
 def geo_store(spark: SparkSession, sf_dir: str) -> Store:
     nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
@@ -261,6 +275,89 @@ def upd_clear_graph(spark, sf_dir):
     return store.select(f"SELECT ({changed} AS ?changed) (COUNT(*) AS ?n) WHERE {{ GRAPH ?g {{ ?s ?p ?o }} }}")
 
 
+@query("SELECT 'http://ex/nation/' || n_nationkey AS s FROM nation WHERE length(n_name) > 8")
+def upd_insert_where(spark, sf_dir):
+    store = geo_store(spark, sf_dir)
+    store.update(PRE + "INSERT { ?s :long true } WHERE { ?s :size ?x FILTER(?x > 8) }")
+    return store.select(PRE + "SELECT ?s WHERE { ?s :long true }")
+
+
+@query("SELECT '<http://ex/name>' AS p, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n")
+def upd_delete_where_all(spark, sf_dir):
+    store = geo_store(spark, sf_dir)
+    store.update(PRE + "DELETE WHERE { ?s :size ?x }")
+    return store.quads.where("g is null").groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'http://ex/nation/' || n_nationkey AS x FROM nation")
+def repeated_var_found(spark, sf_dir):
+    store = geo_store(spark, sf_dir)
+    store.update(PRE + "INSERT { ?s :same ?s . ?s :same :other } WHERE { ?s :size ?x }")
+    return store.select(PRE + "SELECT ?x WHERE { ?x :same ?x }")
+
+
+# --- RDF files written from the nations and read back
+def rdf_file(spark: SparkSession, sf_dir: str, head: str, line, tail: str = "") -> str:
+    """One file with a line for each nation; ``line`` makes it of (key, name, region key)."""
+    from .storage import fresh_path
+
+    path = fresh_path(spark, "rdf")
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    body = nation.select(F.lit(1).alias("part"), line(F.col("n_nationkey").cast("string"), F.col("n_name"), F.col("n_regionkey").cast("string")).alias("value"))
+    ends = spark.createDataFrame([(0, head), (2, tail)], "part int, value string").where("value <> ''")
+    body.unionAll(ends).coalesce(1).sortWithinPartitions("part", "value").select("value").write.text(path)
+    return path
+
+
+NAMES = "SELECT '<http://ex/nation/' || n_nationkey || '>' AS s, '\"' || n_name || '\"@en' AS o FROM nation"
+GRAPHS = "SELECT '<http://ex/region/' || n_regionkey || '>' AS g, '<http://ex/nation/' || n_nationkey || '>' AS s, '\"' || n_name || '\"@en' AS o FROM nation"
+
+
+def read_rdf(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    from .sources import rdf
+
+    return rdf.read(spark, path, fmt).where("p = '<http://ex/name>'")
+
+
+@query(NAMES)
+def read_ntriples(spark, sf_dir):
+    path = rdf_file(spark, sf_dir, "# nations", lambda k, n, r: F.concat(F.lit("<http://ex/nation/"), k, F.lit('> <http://ex/name> "'), n, F.lit('"@en .')))
+    return read_rdf(spark, path, "ntriples").select("s", "o")
+
+
+@query(GRAPHS)
+def read_nquads(spark, sf_dir):
+    path = rdf_file(spark, sf_dir, "# nations", lambda k, n, r: F.concat(F.lit("<http://ex/nation/"), k, F.lit('> <http://ex/name> "'), n, F.lit('"@en <http://ex/region/'), r, F.lit("> .")))
+    return read_rdf(spark, path, "nquads").select("g", "s", "o")
+
+
+@query(NAMES)
+def read_turtle(spark, sf_dir):
+    path = rdf_file(spark, sf_dir, "@prefix ex: <http://ex/> .", lambda k, n, r: F.concat(F.lit("<http://ex/nation/"), k, F.lit("> a ex:Nation ; ex:in <http://ex/region/"), r, F.lit('> ; ex:name "'), n, F.lit('"@en .')))
+    return read_rdf(spark, path, "turtle").select("s", "o")
+
+
+@query(GRAPHS)
+def read_trig(spark, sf_dir):
+    path = rdf_file(spark, sf_dir, "@prefix ex: <http://ex/> .", lambda k, n, r: F.concat(F.lit("<http://ex/region/"), r, F.lit("> { <http://ex/nation/"), k, F.lit('> ex:name "'), n, F.lit('"@en . }')))
+    return read_rdf(spark, path, "trig").select("g", "s", "o")
+
+
+@query(NAMES)
+def read_rdfxml(spark, sf_dir):
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:ex="http://ex/">'
+    path = rdf_file(spark, sf_dir, head, lambda k, n, r: F.concat(F.lit('<rdf:Description rdf:about="http://ex/nation/'), k, F.lit('"><ex:name xml:lang="en">'), n, F.lit("</ex:name></rdf:Description>")), "</rdf:RDF>")
+    return read_rdf(spark, path, "rdfxml").select("s", "o")
+
+
+@query("SELECT count(*) AS n FROM nation")
+def upd_load(spark, sf_dir):
+    path = rdf_file(spark, sf_dir, "# nations", lambda k, n, r: F.concat(F.lit("<http://ex/nation/"), k, F.lit('> <http://ex/title> "'), n, F.lit('" .')))
+    store = geo_store(spark, sf_dir)
+    store.update(f"LOAD <{path}>")
+    return store.select(PRE + "SELECT (COUNT(*) AS ?n) WHERE { ?s :title ?x ; :name ?x }")
+
+
 @query("SELECT count(*) AS n FROM nation")
 def txn_rollback(spark, sf_dir):
     store = geo_store(spark, sf_dir)
@@ -417,6 +514,25 @@ def g_betweenness(spark, sf_dir):
     return Graph(links(spark, sf_dir)).betweenness()
 
 
+TRADE = "trade AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), ends AS (SELECT a, b FROM trade UNION ALL SELECT b, a FROM trade)"
+
+
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier - part, both ways: a graph full of cycles."""
+    pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
+    return pairs.unionAll(pairs.select("b", "a"))
+
+
+@query(f"WITH RECURSIVE {TRADE}, r AS (SELECT 's1' AS node, 0 AS hops UNION SELECT b, hops + 1 FROM r JOIN ends ON a = node WHERE hops < 3) SELECT node, min(hops) AS hops FROM r GROUP BY node")
+def g_bfs_cyclic(spark, sf_dir):
+    return Graph(trade(spark, sf_dir)).bfs("s1", max_hops=3).select("node", "hops")
+
+
+@query(f"WITH {TRADE} SELECT a AS node, count(*) AS out_degree, count(*) AS in_degree FROM ends GROUP BY a")
+def g_degree_cyclic(spark, sf_dir):
+    return Graph(trade(spark, sf_dir)).degrees()
+
+
 SSSP_FROM = "(SELECT min(a) FROM step)"
 
 
