@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import written
+from ..storage import discard, written
 
 #: Operators that hold the whole edge list in a task refuse larger graphs.
 EXACT_EDGES = 5_000_000
@@ -129,7 +129,8 @@ class Graph:
             large = both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
             down = large.groupBy("hi").agg(F.min("lo").alias("m"))
             small = large.join(down, "hi").select(F.col("m").alias("lo"), F.col("lo").alias("hi")).unionAll(down.select("m", "hi")).where("lo < hi").distinct()
-            now = written(small, "star")
+            last, now = now, written(small, "star")
+            discard(last)
             row = now.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi"))).first()
             if state == tuple(row):
                 break
@@ -371,13 +372,14 @@ def _pagerank(nodes: DataFrame, edges: DataFrame, damping: float, max_iters: int
     total = edges.groupBy("a").agg(F.sum("w").alias("all")).where("all > 0")
     share = written(edges.join(total, "a").select("a", "b", (F.col("w") / F.col("all")).alias("share")), "share")
     rank = written(nodes.join(total.select(F.col("a").alias("node"), F.lit(True).alias("out")), "node", "left").select("node", F.coalesce("out", F.lit(False)).alias("out"), F.lit(1.0 / n).alias("rank")), "rank")
+    lost = F.coalesce(F.sum(F.when(~F.col("out"), F.col("rank"))), F.lit(0.0))
+    loose = rank.agg(lost).first()[0]
     for _ in range(max_iters):
-        loose = rank.where("not out").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         got = rank.select(F.col("node").alias("a"), "rank").join(share, "a").groupBy("b").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = rank.join(got, F.col("node") == F.col("b"), "left").select("node", "out", F.col("rank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("rank"))
-        new = written(new, "rank")
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        rank = new.drop("old")
+        last, rank = rank, written(new, "rank")
+        discard(last)
+        change, loose = rank.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), lost).first()  # of the last round, for the next one
         if change < tol:
             break
     return rank.select("node", "rank")
