@@ -75,8 +75,8 @@ def travel_form(docs: DataFrame, stride: int, files: tuple, samples: int = SAMPL
         yield pa.RecordBatch.from_arrays([pa.array([dictionary], pa.binary()), pa.array([order.tobytes()], pa.binary())], names=["dictionary", "by_count"])
 
     some = docs.where("text is not null").select(F.col("text").cast("string").alias("text")).limit(samples).coalesce(1)
-    row = some.mapInArrow(run, "dictionary binary, by_count binary").first()
-    return (bytes(row["dictionary"]), np.frombuffer(row["by_count"], "<u2")) if row else (b"", np.arange(1 << 16, dtype="<u2"))
+    got = some.mapInArrow(run, "dictionary binary, by_count binary").collect()  # one row
+    return (bytes(got[0]["dictionary"]), np.frombuffer(got[0]["by_count"], "<u2")) if got else (b"", np.arange(1 << 16, dtype="<u2"))
 
 
 def sixteen_bits(ids: list[int]) -> np.ndarray:
