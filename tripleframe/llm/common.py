@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,17 +101,21 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+@functools.cache
+def _word_tables(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Made once a Python worker, which serves many tasks."""
+    inside = np.fromiter((chr(i).isalnum() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    char = mix64(np.arange(1, sys.maxunicode + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    return inside, char, mix64(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
 class WordStream:
     """Hashes of the words of a text, runs of letters and digits after lower-casing,
     without a Python object for each: a word's hash is the mixed sum over its
     characters of a random number for the character times one for the place."""
 
     def __init__(self, seed: int = 1):
-        import sys
-
-        self.inside = np.fromiter((chr(i).isalnum() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
-        self.char = mix64(np.arange(1, sys.maxunicode + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        self.place = mix64(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+        self.inside, self.char, self.place = _word_tables(seed)
 
     def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(code points, first and end place of each word) of the lower-cased text."""
