@@ -160,7 +160,8 @@ def rest_scores(ids: DataFrame, counts: DataFrame) -> DataFrame:
     # Whole numbers, so that the sum does not depend on the order of the rows.
     log_n = F.round(F.log("n") * F.lit(2.0**32)).cast("long")
     places = ids.select("row", "rest").mapInArrow(run, "row long, word long, k long")
-    return places.join(counts.select("word", log_n.alias("log_n")), "word").groupBy("row").agg((F.sum(F.col("k") * F.col("log_n")) / F.lit(2.0**32)).alias("log_n"))
+    # The log of a single occurrence is 0: such words, most of the types, needn't be joined.
+    return places.join(counts.where("n > 1").select("word", log_n.alias("log_n")), "word").groupBy("row").agg((F.sum(F.col("k") * F.col("log_n")) / F.lit(2.0**32)).alias("log_n"))
 
 
 class Network:
