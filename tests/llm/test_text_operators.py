@@ -1,6 +1,8 @@
 """Training-data operators on documents: brute force, round trips and odd inputs."""
 
 import math
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -424,6 +426,53 @@ def test_blocks_below_the_kth_score_are_not_opened():
             assert shard.opened < 40 * shard.blocks * 0.5
 
 
+def test_few_documents_are_scored_exactly():
+    rng = np.random.default_rng(5)
+    n, terms = 3200, 400
+    tf = rng.poisson(rng.gamma(0.3, 0.5, (n, terms)) * np.linspace(2, 0.02, terms))  # like documents lie nowhere together
+    doc, term = np.nonzero(tf.T)[::-1]
+    row = {"doc_ids": np.arange(n, dtype="<i8").tobytes(), "lengths": tf.sum(axis=1).astype("<i4").tobytes(), "terms": np.arange(terms, dtype=np.uint64).tobytes(), "ends": np.cumsum((tf > 0).sum(axis=0)).astype("<i8").tobytes(), "posting_docs": doc.astype("<u2").tobytes(), "posting_tf": tf[doc, term].astype("<u4").tobytes()}
+    impact = tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf.sum(axis=1)[:, None] / tf.sum(axis=1).mean()))
+    queries = [(np.flatnonzero(tf[d]).astype(np.uint64), rng.random(np.count_nonzero(tf[d])) * 5 + 0.01) for d in range(0, 800, 20)]
+    for long in (64, 10**9):
+        shard = bm25.Shard(row, tf.sum(axis=1).mean(), long=long)
+        for seeded in (False, True):
+            want = [impact[:, t.astype(int)] @ w for t, w in queries]
+            asked, docs, scores = shard.top(queries, 5, np.array([np.sort(x)[-5] for x in want]) if seeded else None)
+            assert shard.opened < 40 * 12
+            for q, x in enumerate(want):
+                if len(queries[q][0]):
+                    best = np.argsort(-x, kind="stable")[:5]
+                    assert set(best[x[best] > 0]) <= set(docs[asked == q])
+                    assert np.allclose(scores[asked == q], x[docs[asked == q]], rtol=1e-12)
+
+
+def test_words_of_any_length_have_their_own_hash():
+    a, b = "a" * 4096 + "b", "b" + "a" * 4096
+    got = bm25.term_hashes(f"{a} x_{b} {a.upper()} \u00c4x", bm25.WordStream())
+    assert len(got) == 5 and got[0] == got[3] and len(set(got.tolist())) == 4
+    assert len(bm25.term_hashes(None, bm25.WordStream())) == 0
+
+
+def test_tasks_give_back_their_memory():
+    code = """
+import numpy as np
+from tripleframe.llm.common import released
+def mb():
+    return int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1]) / 1024
+left = []
+def task(parts):
+    kept = [np.ones(100) for _ in range(400_000)]
+    left.append(kept[-1])
+    yield mb()
+before = mb()
+most = list(released(task)(None))[0]
+print(most - before, mb() - before)
+"""
+    most, after = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert most > 250 and after < most / 3
+
+
 def test_search_counts_very_frequent_words(spark):
     docs = [(1, "w " * 200_000), (2, "w x y z"), *((k, "x y z") for k in range(3, 200))]
     got = {r["doc_id"]: r["score"] for r in bm25.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "w")], "query_id long, text string")).collect()}
