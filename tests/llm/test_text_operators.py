@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests_helpers import plain_words
 
 from tripleframe.llm import bm25, decontaminate, langid, masked_lm, near_dups, packing, token_shards
-from tripleframe.llm.common import WordStream, ascii_words, written
+from tripleframe.llm.common import WordStream, ascii_words, released, written
 from tripleframe.llm.tokens import SPECIAL, make_encoder, tokenizer_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -473,6 +473,28 @@ print(most - before, mb() - before)
     assert most > 250 and after < most / 3
 
 
+def test_ended_tasks_leave_no_cycles():
+    import gc
+    import weakref
+
+    class Table:
+        pass
+
+    seen = []
+
+    def task(parts):
+        table = Table()
+        table.own = table
+        seen.append(weakref.ref(table))
+        yield 1
+
+    gc.disable()
+    try:
+        assert list(released(task)(None)) == [1] and seen[0]() is None
+    finally:
+        gc.enable()
+
+
 def test_search_counts_very_frequent_words(spark):
     docs = [(1, "w " * 200_000), (2, "w x y z"), *((k, "x y z") for k in range(3, 200))]
     got = {r["doc_id"]: r["score"] for r in bm25.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "w")], "query_id long, text string")).collect()}

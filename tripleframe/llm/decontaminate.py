@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordStream, batches, shingles_of, written
+from .common import WordStream, batches, released, shingles_of, written
 from .near_dups import hash_family
 
 SHINGLE, PERCENT = 5, 80
@@ -123,7 +123,7 @@ def _pass(docs: DataFrame, index: Index, percent: int) -> DataFrame:
                 rows = [(doc, index.ids[item], len(index.sets[item]), shared, shared / len(index.sets[item])) for doc, text in zip(ids, texts, strict=True) for item, shared in leaks_in(text, index, sizes, stream, percent)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "item_shingles", "shared", "containment"])
 
-    return docs.mapInArrow(run, PAIRS)
+    return docs.mapInArrow(released(run), PAIRS)
 
 
 def holds_item(text: Column, index: Index, percent: int = PERCENT) -> Column:
@@ -131,6 +131,7 @@ def holds_item(text: Column, index: Index, percent: int = PERCENT) -> Column:
     sizes = sorted({size for size, _ in index.tables})
 
     @F.pandas_udf("boolean")
+    @released
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         stream = WordStream()
         for column in columns:

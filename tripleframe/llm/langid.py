@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, released
 
 UND = "und"
 BUCKETS = 1 << 15
@@ -105,7 +105,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
         rows = [(lang, "", int(b), int(row[b])) for lang, row in table.items() for b in np.flatnonzero(row)] + [(lang, s, -1, n) for (lang, s), n in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "script", "bucket", "n"])
 
-    got = sample.mapInArrow(count, "lang string, script string, bucket long, n long").groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows a language
+    got = sample.mapInArrow(released(count), "lang string, script string, bucket long, n long").groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows a language
     at = {k: i for i, k in enumerate(langs)}
     table, scripts = np.zeros((BUCKETS, len(langs))), {}
     for lang, script, bucket, n in zip(*(got.column(c).to_pylist() for c in ("lang", "script", "bucket", "n")), strict=True):
@@ -240,13 +240,14 @@ def _judge(docs: DataFrame, model: Model, penalty: float) -> DataFrame:
                 names, shares = zip(*judged(part.column("text").to_pylist(), scores, model, penalty), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, score double")
+    return docs.mapInArrow(released(run), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, score double")
 
 
 def predict(text: Column, model: Model, penalty: float = SWITCH) -> Column:
     """A struct (lang_pred, score) for a text column; other columns of a row stay in the JVM."""
 
     @F.pandas_udf("lang_pred string, score double")
+    @released
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scores = WordScores(model)
         for column in columns:
@@ -288,4 +289,4 @@ def language_spans(docs: DataFrame, model: Model, penalty: float = SWITCH) -> Da
                 scores.trim()
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "start", "end", "lang"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, end long, lang string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, start long, end long, lang string")

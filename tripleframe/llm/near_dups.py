@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import KeyFilter, WordHashes, anti_join, ascii_words, batches, discard, mix64, semi_join, shingle_hashes, written
+from .common import KeyFilter, WordHashes, anti_join, ascii_words, batches, discard, mix64, released, semi_join, shingle_hashes, written
 
 BANDS, ROWS = 40, 6
 #: About so many bytes of members are compared with so many others in one task.
@@ -90,7 +90,7 @@ def features(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -
                             c.append(None)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["doc_id", "n_shingles", "fp", "bands", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FEATURES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), FEATURES)
 
 
 def set_table(docs: DataFrame, size: int) -> DataFrame:
@@ -105,7 +105,7 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
                 sets = [shingle_hashes(ascii_words(t), size, cache).tobytes() for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "fp", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, fp binary, hashes binary")
+    return docs.mapInArrow(released(run), "doc_id long, fp binary, hashes binary")
 
 
 def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got, pa.float64())], names=["a", "b", "alike"])
 
     both = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.mapInArrow(run, "a long, b long, alike double")
+    return both.mapInArrow(released(run), "a long, b long, alike double")
 
 
 def enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -139,7 +139,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(released(run), "a long, b long")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
