@@ -447,6 +447,31 @@ def test_few_documents_are_scored_exactly():
                     assert np.allclose(scores[asked == q], x[docs[asked == q]], rtol=1e-12)
 
 
+def test_a_shard_raises_the_thresholds_of_the_next():
+    rng = np.random.default_rng(6)
+    n, terms, k = 640, 90, 5
+
+    def shard(first_id, scale):
+        tf = rng.poisson(rng.gamma(0.3, scale, (n, terms)))
+        doc, term = np.nonzero(tf.T)[::-1]
+        row = {"doc_ids": np.arange(first_id, first_id + n, dtype="<i8"), "lengths": np.full(n, 50, "<i4"), "terms": np.arange(terms, dtype=np.uint64), "ends": np.cumsum((tf > 0).sum(axis=0)).astype("<i8"), "posting_docs": doc.astype("<u2"), "posting_tf": tf[doc, term].astype("<u4")}
+        return bm25.Shard({c: x.tobytes() for c, x in row.items()}, 50), tf * 2.2 / (tf + 1.2)
+
+    used = [np.sort(rng.choice(terms, 30, replace=False)) for _ in range(300)]
+    weights = [rng.random(30) + 0.1 for _ in used]
+    rows = {"queries": np.arange(300, dtype="<i8"), "ends": np.arange(30, 9001, 30, dtype="<i8"), "weights": np.concatenate(weights), "places": np.concatenate(used).astype("<i4"), "terms": np.arange(terms, dtype=np.uint64)}
+    block = {c: x.tobytes() for c, x in rows.items()}
+    best, seeds, scores, found = np.empty(0, bm25.HIT), np.zeros(300), [], []
+    for first_id, scale in ((0, 3.0), (10_000, 3.0), (20_000, 0.2)):
+        one, impact = shard(first_id, scale)
+        hits, best, seeds = bm25.raised(one, block, best, seeds, k)
+        scores.append(impact)
+        found.append(len(hits))
+        want = np.array([np.sort(np.concatenate([x[:, t] @ w for x in scores]))[::-1][:k] for t, w in zip(used, weights)])
+        assert np.allclose(best["score"].reshape(300, k), want) and np.allclose(seeds, want[:, -1])
+    assert found[0] == 300 * k > found[1] > 0 == found[2]
+
+
 def test_words_of_any_length_have_their_own_hash():
     a, b = "a" * 4096 + "b", "b" + "a" * 4096
     got = bm25.term_hashes(f"{a} x_{b} {a.upper()} \u00c4x", bm25.WordStream())
@@ -473,6 +498,27 @@ print(most - before, mb() - before)
     assert most > 250 and after < most / 3
 
 
+def test_running_tasks_give_back_large_blocks():
+    code = """
+import numpy as np
+from tripleframe.llm.common import released
+def mb():
+    return int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1]) / 1024
+def task(parts):
+    for size in (1 << 20, 30 << 20):  # a freed block of 30 MB raises glibc's own limit
+        np.ones(size, np.int8)
+    before = mb()
+    blocks = [np.ones(6 << 20, np.int8) for _ in range(40)]
+    last = np.ones(64 << 10, np.int8)
+    most = mb()
+    del blocks[:-1]
+    yield most - before, mb() - before
+print(*list(released(task)(None))[0])
+"""
+    most, after = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert most > 200 and after < most / 3
+
+
 def test_ended_tasks_leave_no_cycles():
     import gc
     import weakref
